@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clickloom.operators.timeline import latest_before, session_runs
+from clickloom.session import cut, stage
 
 TTL_SECONDS = 1800
 MAX_RECENT_VIEWS = 20
@@ -83,55 +84,43 @@ def state_at(
     timeline, so its at most `cap` views are fetched by equality on (user, position).
     """
     asked = requests.select("request_id", "user_id", "request_ts")
-    alive = F.col("request_ts") - F.col("state.timestamp") <= ttl
-
-    hash_part = latest_before(
-        asked,
-        runs(events, ttl, cart_event),
-        key="user_id",
-        left_ts="request_ts",
-        right_ts="timestamp",
-        right_order=["pos"],
-        state=["timestamp", "session_start", "n_so_far", "flag_so_far"],
-    ).select(
-        "request_id",
-        "user_id",
-        "request_ts",
-        F.when(alive, F.col("state.n_so_far")).alias("n"),
-        F.when(alive, F.col("state.session_start")).alias("start"),
-        F.when(alive, F.col("state.timestamp")).alias("seen"),
-        F.when(alive, F.col("state.flag_so_far")).alias("cart"),
+    session = stage(
+        runs(events, ttl, cart_event).select("user_id", "timestamp", "pos", "session_start", "n_so_far", "flag_so_far"),
+        "session-runs",
     )
-
-    chain = view_runs(events, ttl)
-    ends = latest_before(
+    views = stage(view_runs(events, ttl).select("user_id", "timestamp", "pos", "start_pos", "item_id"), "view-runs")
+    found = latest_before(
         asked,
-        chain,
+        {"s": session, "v": views.drop("item_id")},
         key="user_id",
         left_ts="request_ts",
         right_ts="timestamp",
-        right_order=["pos"],
-        state=["timestamp", "pos", "start_pos"],
-    ).filter(alive)
-    last, first = F.col("state.pos"), F.col("state.start_pos")
-    wanted = ends.select(
-        "request_id", "user_id", F.explode(F.sequence(F.greatest(first, last - cap + 1), last)).alias("pos")
+        right_order="pos",
+    )
+    alive = {n: F.coalesce(F.col("request_ts") - F.col(f"{n}.timestamp") <= ttl, F.lit(False)) for n in ("s", "v")}
+    last, first = F.col("v.pos"), F.col("v.start_pos")
+    places = F.when(alive["v"], F.sequence(F.greatest(first, last - cap + 1), last))
+    state = cut(
+        found.select(
+            "request_id",
+            "user_id",
+            "request_ts",
+            F.when(alive["s"], F.col("s.n_so_far")).otherwise(0).cast("bigint").alias("session_length"),
+            F.when(alive["s"], F.col("request_ts") - F.col("s.session_start")).otherwise(0.0).alias("session_age_seconds"),
+            F.when(alive["s"], F.col("s.timestamp")).otherwise(F.col("request_ts")).alias("last_seen_timestamp"),
+            F.when(alive["s"], F.col("s.flag_so_far")).otherwise(False).alias("has_cart_item"),
+            places.alias("places"),
+        )
     )
     lists = (
-        wanted.join(chain.select("user_id", "pos", "item_id"), ["user_id", "pos"])
+        state.select("request_id", "user_id", F.explode("places").alias("pos"))
+        .join(views.select("user_id", "pos", "item_id"), ["user_id", "pos"])
         .groupBy("request_id")
         .agg(F.array_sort(F.collect_list(F.struct((-F.col("pos")).alias("k"), "item_id"))).alias("l"))
         .select("request_id", F.transform("l", lambda x: x["item_id"]).alias("recent_views"))
     )
-    return hash_part.join(lists, "request_id", "left").select(
-        "request_id",
-        "user_id",
-        "request_ts",
-        F.coalesce("n", F.lit(0)).cast("bigint").alias("session_length"),
-        F.coalesce(F.col("request_ts") - F.col("start"), F.lit(0.0)).alias("session_age_seconds"),
-        F.coalesce("seen", "request_ts").alias("last_seen_timestamp"),
-        F.coalesce("cart", F.lit(False)).alias("has_cart_item"),
-        F.coalesce("recent_views", F.array().cast("array<string>")).alias("recent_views"),
+    return state.drop("places").join(lists, "request_id", "left").withColumn(
+        "recent_views", F.coalesce("recent_views", F.array().cast("array<string>"))
     )
 
 

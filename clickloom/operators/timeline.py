@@ -14,10 +14,6 @@ from pyspark.sql import functions as F
 BUCKET_SECONDS = 6 * 3600
 
 
-def _greatest(*cols: Column) -> Column:
-    return F.greatest(*cols)
-
-
 def session_runs(
     events: DataFrame,
     ttl_seconds: float,
@@ -75,7 +71,7 @@ def session_runs(
         .withColumn("_head", F.coalesce(F.col("_first") - F.col("_prev_last") > ttl_seconds, F.lit(True)))
         .withColumn(
             "_end_start_pos",
-            _greatest(F.when(F.col("_head"), F.col("_base") + 1), F.col("_base") + F.col("_b_start_rn")),
+            F.greatest(F.when(F.col("_head"), F.col("_base") + 1), F.col("_base") + F.col("_b_start_rn")),
         )
         .withColumn("_end_start_ts", F.coalesce("_b_start_ts", F.when(F.col("_head"), F.col("_first"))))
         .withColumns(
@@ -104,7 +100,7 @@ def session_runs(
     pos = F.col("_base") + F.col("_rn")
     first_in_bucket = F.col("_rn") == 1
     start_pos = F.coalesce(F.col("_base") + F.col("_start_rn"), F.col("_in_start_pos"))
-    hit_pos = _greatest(F.col("_base") + F.col("_hit_rn"), F.col("_in_hit_pos"))
+    hit_pos = F.greatest(F.col("_base") + F.col("_hit_rn"), F.col("_in_hit_pos"))
     return local.join(carried, part).select(
         *events.columns,
         pos.alias("pos"),
@@ -124,41 +120,53 @@ def session_runs(
 
 def latest_before(
     left: DataFrame,
-    right: DataFrame,
+    rights: dict[str, DataFrame],
     *,
     key: str,
     left_ts: str,
     right_ts: str,
-    right_order: list[str],
-    state: list[str],
+    right_order: str,
     bucket_seconds: int = BUCKET_SECONDS,
 ) -> DataFrame:
-    """As-of join: for every left row the last right row of the key with right_ts <= left_ts.
+    """As-of join: for every left row the last row of each right table of the key at or before its time.
 
-    Left rows keep their columns and get a struct column `state` (NULL when there is none). The
-    two sides are put on one timeline, so there is no range join and no pair is ever built.
+    Left rows keep their columns and get one struct column per right table (NULL when there is
+    none). All sides share one timeline and one pass, so there is no range join and no pair is
+    ever built. The right tables are read twice: give them as stage tables.
     """
-    payload = F.struct(*[F.col(c).alias(c) for c in state])
-    rank = F.struct(F.col(right_ts).alias("t"), *[F.col(c).alias(f"o{i}") for i, c in enumerate(right_order)])
-    seen = right.select(key, F.col(right_ts).alias("_t"), rank.alias("_o"), payload.alias("_s"))
-    seen = seen.withColumn("_b", F.floor(F.col("_t") / bucket_seconds))
-    asked = left.select(
-        key, F.col(left_ts).alias("_t"), F.struct(*[F.col(c) for c in left.columns]).alias("_left")
-    ).withColumn("_b", F.floor(F.col("_t") / bucket_seconds))
+
+    def bucketed(df: DataFrame, ts: str) -> DataFrame:
+        return df.withColumn("_t", F.col(ts)).withColumn("_b", F.floor(F.col(ts) / bucket_seconds))
+
+    seen = None
+    for name, right in rights.items():
+        rows = bucketed(right, right_ts).select(
+            key, "_b", "_t", F.col(right_order).alias("_o"), F.struct(*[c for c in right.columns if c != key]).alias(name)
+        )
+        seen = rows if seen is None else seen.unionByName(rows, allowMissingColumns=True)
+    asked = bucketed(left, left_ts).select(key, "_b", "_t", F.struct(*left.columns).alias("_left"))
+
     # The last right row of each busy bucket, carried to the later buckets of the key.
-    ends = seen.groupBy(key, "_b").agg(F.max_by("_s", "_o").alias("_end"))
-    buckets = ends.unionByName(
-        asked.select(key, "_b").distinct().withColumn("_end", F.lit(None).cast(ends.schema["_end"].dataType))
+    at = F.struct("_t", "_o")
+    ends = seen.groupBy(key, "_b").agg(*[F.max_by(n, F.when(F.col(n).isNotNull(), at)).alias(n) for n in rights])
+    buckets = ends.unionByName(asked.select(key, "_b").distinct(), allowMissingColumns=True)
+    before = Window.partitionBy(key).orderBy("_b", F.col("_q")).rowsBetween(Window.unboundedPreceding, -1)
+    # A bucket with both kinds of rows has two entries; the question (_q = 0) comes first.
+    is_question = F.lit(True)
+    for n in rights:
+        is_question = is_question & F.col(n).isNull()
+    carried = (
+        buckets.withColumn("_q", F.when(is_question, 0).otherwise(1))
+        .select(key, "_b", "_q", *[F.last(n, ignorenulls=True).over(before).alias(f"_c_{n}") for n in rights])
+        .filter(F.col("_q") == 0)
+        .drop("_q")
     )
-    buckets = buckets.groupBy(key, "_b").agg(F.first("_end", ignorenulls=True).alias("_end"))
-    before = Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    carried = buckets.select(key, "_b", F.last("_end", ignorenulls=True).over(before).alias("_carry"))
 
-    both = seen.select(key, "_b", "_t", "_o", "_s", F.lit(0).alias("_kind")).unionByName(
-        asked.select(key, "_b", "_t", "_left", F.lit(1).alias("_kind")), allowMissingColumns=True
-    )
+    both = seen.unionByName(asked, allowMissingColumns=True).withColumn("_kind", F.col("_left").isNotNull())
     upto = Window.partitionBy(key, "_b").orderBy("_t", "_kind", "_o").rowsBetween(Window.unboundedPreceding, 0)
-    placed = both.withColumn("_in", F.last("_s", ignorenulls=True).over(upto)).filter(F.col("_kind") == 1)
+    placed = both.select(
+        key, "_b", "_left", *[F.last(n, ignorenulls=True).over(upto).alias(n) for n in rights]
+    ).filter(F.col("_left").isNotNull())
     return placed.join(carried, [key, "_b"], "left").select(
-        *[F.col(f"_left.{c}").alias(c) for c in left.columns], F.coalesce("_in", "_carry").alias("state")
+        *[F.col(f"_left.{c}").alias(c) for c in left.columns], *[F.coalesce(n, f"_c_{n}").alias(n) for n in rights]
     )

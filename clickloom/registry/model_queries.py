@@ -38,15 +38,11 @@ def query(fn):
     return fn
 
 
-def s5(col):
-    return F.round(col, 5)
-
-
 def session_requests(spark: SparkSession, d: str) -> DataFrame:
     """Requests of all customers with the session features as of the request."""
     req = T.requests(spark, d)
     at = E.state_at(req, T.events(spark, d), DAY, T.CART_EVENT)
-    return req.join(at.drop("user_id", "request_ts"), "request_id")
+    return cut(req.join(at.drop("user_id", "request_ts"), "request_id"))
 
 
 def serving_tables(spark: SparkSession, d: str) -> REC.Tables:
@@ -96,7 +92,7 @@ def retrieve_knn(spark, d):
     """Exact top 100 items of every user with a factor vector."""
     users = T.user_factors(spark, d).select("user_id", V.project_user("features", T.TOTAL_DIM).alias("vec"))
     hits = K.search(users, K.pivot_index(T.item_embeddings(spark, d)), 100, id_col="user_id")
-    return hits.select(F.col("query_id").alias("user_id"), "item_id", s5("score").alias("score"), "rank")
+    return hits.select(F.col("query_id").alias("user_id"), "item_id", "score", "rank")
 
 
 @query
@@ -106,14 +102,14 @@ def retrieve_by_session(spark, d):
     vectors = T.item_embeddings(spark, d)
     means = REC.mean_vectors(views, vectors, "user_id")
     hits = K.search(means, K.pivot_index(vectors), 100, id_col="user_id")
-    return hits.select(F.col("query_id").alias("user_id"), "item_id", s5("score").alias("score"), "rank")
+    return hits.select(F.col("query_id").alias("user_id"), "item_id", "score", "rank")
 
 
 @query
 def retrieve_cascade(spark, d):
     t = serving_tables(spark, d)
     found = REC.candidates(session_requests(spark, d), t.factors, t.vectors, t.items, t.index, t.total_dim)
-    return found.select("request_id", "source", "item_id", F.col("retrieval_rank").alias("rank"), s5("retrieval_score").alias("score"))
+    return found.select("request_id", "source", "item_id", F.col("retrieval_rank").alias("rank"), F.col("retrieval_score").alias("score"))
 
 
 @query
@@ -123,7 +119,7 @@ def ranker_features(spark, d):
 
 
 def _top(spark, d):
-    requests = cut(session_requests(spark, d))
+    requests = session_requests(spark, d)
     return requests, REC.recommend(requests, serving_tables(spark, d), R.linear_scorer(WEIGHTS))
 
 
@@ -185,3 +181,231 @@ def ann_recall(spark, d):
         one = K.recall(found, exact).withColumn("index", F.lit(name))
         out = one if out is None else out.unionByName(one)
     return out.select("index", "queries", r6("recall").alias("recall"))
+
+
+# ------------------------------------------------------------------ samples, training data, quality
+
+
+@query
+def val_user_sample(spark, d):
+    from clickloom.operators import sampling
+
+    return sampling.sample_share(T.interactions(spark, d), "user_id", 0.1)
+
+
+@query
+def training_user_sample(spark, d):
+    from clickloom.operators import sampling
+
+    return sampling.sample_count(T.interactions(spark, d), "user_id", 500)
+
+
+@query
+def weighted_user_sample(spark, d):
+    from clickloom.operators import sampling
+
+    w = T.interactions(spark, d).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+    return sampling.weighted_sample(w, "user_id", "n", 100)
+
+
+@query
+def stratified_split(spark, d):
+    from clickloom.operators import sampling
+
+    return sampling.stratified_split(T.scored_labels(spark, d), "row_id", "label").select("row_id", "label", "is_validation")
+
+
+def _user_candidates(spark, d):
+    """Exact top 100 items of all users with a factor vector."""
+    users = T.user_factors(spark, d).select("user_id", V.project_user("features", T.TOTAL_DIM).alias("vec"))
+    hits = K.search(users, K.pivot_index(T.item_embeddings(spark, d)), 100, id_col="user_id")
+    return hits.select(F.col("query_id").alias("user_id"), "item_id", "rank")
+
+
+def _pairs(spark, d):
+    from clickloom.plans import training as TR
+
+    pairs = TR.training_pairs(T.interactions(spark, d), T.items(spark, d), cut(_user_candidates(spark, d)))
+    return pairs
+
+
+@query
+def training_pairs(spark, d):
+    return _pairs(spark, d).select("user_id", "item_id", "label")
+
+
+@query
+def training_pairs_stats(spark, d):
+    return _pairs(spark, d).agg(
+        F.count(F.lit(1)).alias("total"),
+        F.count_if(F.col("label") == 1).alias("positives"),
+        F.count_if(F.col("label") == 0).alias("negatives"),
+    )
+
+
+def _features(spark, d):
+    from clickloom.plans import training as TR
+
+    return TR.training_features(cut(_pairs(spark, d)), T.interactions(spark, d), T.items(spark, d))
+
+
+@query
+def training_features(spark, d):
+    return _features(spark, d).select("user_id", "item_id", "label", *[r6(F.col(c).cast("double")).alias(c) for c in R.FEATURES])
+
+
+@query
+def precision_recall_at_k(spark, d):
+    """Quality of the vector retrieval on a tenth of its users."""
+    from clickloom.operators import quality, sampling
+
+    recs = cut(_user_candidates(spark, d))
+    users = sampling.sample_share(recs, "user_id", 0.1)
+    out = quality.precision_recall(recs, T.interactions(spark, d), users)
+    return out.select("users", r6("precision_at_k").alias("precision_at_k"), r6("recall_at_k").alias("recall_at_k"))
+
+
+@query
+def auc(spark, d):
+    from clickloom.operators import quality
+
+    return quality.roc_auc(T.scored_labels(spark, d)).withColumn("auc", r6("auc"))
+
+
+# ------------------------------------------------------------------ text
+
+
+@query
+def tfidf(spark, d):
+    from clickloom.operators import textvec as TV
+
+    return TV.tfidf(T.documents(spark, d), "doc_id", "text").withColumn("weight", r6("weight"))
+
+
+@query
+def text_svd(spark, d):
+    from clickloom.operators import textvec as TV
+
+    out = TV.text_vectors(T.documents(spark, d), "doc_id", "text", dim=32)
+    return out.select("doc", F.size("vec").alias("dims"), r6(V.norm("vec")).alias("norm"))
+
+
+def _title_queries(spark, d, typo: bool):
+    titles = T.read(spark, d, "part").select(F.col("p_name").alias("title")).distinct()
+    # The typo swaps the letters "in" and turns "a" into "e", so words move by one or two edits.
+    text = F.translate(F.regexp_replace("title", "in", "ni"), "a", "e") if typo else F.col("title")
+    return titles.select(F.col("title").alias("query_id"), text.alias("text"))
+
+
+@query
+def search_text(spark, d):
+    from clickloom.operators import textvec as TV
+
+    out = TV.search_titles(_title_queries(spark, d, False), T.items(spark, d))
+    return out.select("query_id", "item_id", r6("score").alias("score"), "rank")
+
+
+@query
+def search_fuzzy(spark, d):
+    from clickloom.operators import textvec as TV
+
+    out = TV.search_titles(_title_queries(spark, d, True), T.items(spark, d), fuzzy=True)
+    return out.select("query_id", "item_id", r6("score").alias("score"), "rank")
+
+
+# ------------------------------------------------------------------ iterative models
+
+ALS_SETTINGS = {"factors": 16, "iterations": 5, "blocks": 4}
+TREE_SETTINGS = {"trees": 10, "depth": 4, "step": 0.1}
+
+
+def _factor_model(spark, d):
+    from clickloom.operators import factors as A
+
+    return A.train(C.confidence_cells(T.interactions(spark, d)), **ALS_SETTINGS)
+
+
+@query
+def als_factors(spark, d):
+    m = _factor_model(spark, d)
+    users = m.user_factors().select(F.lit("user").alias("side"), F.col("user_id").alias("id"), F.size("features").alias("dims"))
+    return users.unionByName(m.item_factors().select(F.lit("item").alias("side"), F.col("item_id").alias("id"), F.size("features").alias("dims")))
+
+
+@query
+def als_recommend(spark, d):
+    return _factor_model(spark, d).recommend(10)
+
+
+@query
+def als_recommend_unseen(spark, d):
+    return _factor_model(spark, d).recommend_unseen(10, T.interactions(spark, d))
+
+
+@query
+def als_roundtrip(spark, d):
+    """Users whose recommendations survive a save and load unchanged."""
+    from clickloom.operators import factors as A
+
+    m = _factor_model(spark, d)
+    path = new_path(spark, "als")
+    m.save(path)
+    a, b = m.recommend(10), A.FactorModel.load(spark, path).recommend(10)
+    same = a.join(b.select("user_id", "item_id", "rank"), ["user_id", "item_id", "rank"], "left_semi")
+    return same.groupBy("user_id").agg(F.count(F.lit(1)).alias("same"))
+
+
+def _embeddings(spark, d):
+    from clickloom.operators import textvec as TV
+
+    return TV.item_embeddings(T.items(spark, d), _factor_model(spark, d).item_factors())
+
+
+@query
+def item_embeddings(spark, d):
+    path = new_path(spark, "embeddings")
+    _embeddings(spark, d).write.parquet(path)
+    return spark.read.parquet(path).select("item_id", F.size("embedding").alias("dims"), "has_cf")
+
+
+@query
+def item_embedding_stats(spark, d):
+    return _embeddings(spark, d).agg(F.count(F.lit(1)).alias("embeddings"), F.count_if(~F.col("has_cf")).alias("without_cf"))
+
+
+def _ranker(spark, d):
+    from clickloom.operators import sampling
+
+    rows = cut(_features(spark, d).withColumn("row_id", F.concat_ws("|", "user_id", "item_id")))
+    split = cut(sampling.stratified_split(rows, "row_id", "label"))
+    return split, R.train_ranker(split, **TREE_SETTINGS)
+
+
+@query
+def ranker_scores(spark, d):
+    """Probabilities of all training rows, from the reloaded model."""
+    from pyspark.ml import PipelineModel
+
+    split, model = _ranker(spark, d)
+    path = new_path(spark, "ranker")
+    model.write().save(path)
+    return R.tree_scorer(PipelineModel.load(path))(split).select("row_id", "label", "is_validation", "score")
+
+
+@query
+def ranker_importance(spark, d):
+    _, model = _ranker(spark, d)
+    return R.importance(model, spark)
+
+
+@query
+def run_metrics(spark, d):
+    """The whole training job, and its log."""
+    from clickloom.plans import training as TR
+
+    path = new_path(spark, "run-metrics")
+    TR.train_all(
+        spark, T.interactions(spark, d), T.items(spark, d), new_path(spark, "models"), path, "run-1",
+        als=ALS_SETTINGS, trees=TREE_SETTINGS,
+    )
+    return spark.read.parquet(path).select("run_id", "stage", "name", "value")
