@@ -33,14 +33,14 @@ def to_table(df: DataFrame, path: str, checkpoint: str, drain: bool = False) ->
 
 
 def to_batches(df: DataFrame, path: str, checkpoint: str, drain: bool = False, mode: str = "update",
-               shape: Callable[[DataFrame, int], DataFrame] | None = None) -> StreamingQuery:
+               shape: Callable[[DataFrame, int], DataFrame] | None = None, every: str = TRIGGER) -> StreamingQuery:
     """Each micro-batch overwrites its own folder, so a replayed batch does not count twice."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
         out = shape(batch, batch_id) if shape else batch
         out.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
-    return start(df.writeStream.outputMode(mode).foreachBatch(write), checkpoint, drain)
+    return start(df.writeStream.outputMode(mode).foreachBatch(write), checkpoint, drain, every)
 
 
 # ---------------------------------------------------------------- events
@@ -272,7 +272,11 @@ def session_state(
     cart_event: str = CART_EVENT,
     arrival: bool = False,
 ) -> DataFrame:
-    """State of every user touched by a micro-batch (update mode), keyed by user_id."""
+    """State of every user touched by a micro-batch (update mode), keyed by user_id.
+
+    With `arrival` the life times run on the clock, so the query needs a processing-time trigger:
+    it always has another batch to look at and does not drain.
+    """
     use_rocksdb(events.sparkSession)
     small = compact(events, ttl, cap, cart_event)
     if arrival:

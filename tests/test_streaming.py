@@ -38,18 +38,31 @@ def test_session_state_with_late_files_equals_batch(spark, tmp_path):
 
 
 def test_arrival_state_expires_as_a_whole(spark, tmp_path):
-    path, out, cp = (str(tmp_path / n) for n in ("in", "out", "cp"))
-
-    def run(part):
-        stream = land(spark, path, [part])
-        L.to_batches(L.session_state(stream, 6, arrival=True), out, cp, drain=True)
-        return L.latest_state(spark.read.parquet(out)).first()
-
-    first = run([("1", "u", "a", "view", 1.0), ("2", "u", "b", "add_to_cart", 2.0)])
-    assert (first.session_length, first.has_cart_item, first.recent_views) == (2, True, ["b", "a"])
-    time.sleep(8)
-    later = run([("3", "u", "c", "view", 3.0)])
-    assert (later.session_length, later.has_cart_item, later.recent_views) == (1, False, ["c"])
+    path, out = str(tmp_path / "in"), str(tmp_path / "out")
+    stream = land(spark, path, [[("1", "u", "a", "view", 1.0), ("2", "u", "b", "add_to_cart", 2.0)]])
+    query = L.to_batches(L.session_state(stream, 6, arrival=True), out, str(tmp_path / "cp"), every="1 second")
+
+    def published(rows, seconds=40):
+        until = time.time() + seconds
+        while time.time() < until:
+            time.sleep(1)
+            try:
+                found = spark.read.parquet(out)
+                if found.count() >= rows:
+                    return L.latest_state(found).first()
+            except Exception:  # nothing written yet, or a batch is being written
+                pass
+        raise AssertionError("no state was published")
+
+    try:
+        first = published(1)
+        assert (first.session_length, first.has_cart_item, first.recent_views) == (2, True, ["b", "a"])
+        time.sleep(8)
+        land(spark, path, [[("3", "u", "c", "view", 3.0)]])
+        later = published(2)
+        assert (later.session_length, later.has_cart_item, later.recent_views) == (1, False, ["c"])
+    finally:
+        query.stop()
 
 
 def test_duplicates_and_closed_sessions(spark, tmp_path):
@@ -57,7 +70,6 @@ def test_duplicates_and_closed_sessions(spark, tmp_path):
     stream = land(spark, str(tmp_path / "in"), [rows[:3] + rows[:1], rows[3:] + rows[3:]])
     L.to_table(L.dedupe(stream), str(tmp_path / "d"), str(tmp_path / "dc"), drain=True)
     assert sorted(r.event_id for r in spark.read.parquet(str(tmp_path / "d")).collect()) == ["1", "2", "3", "4"]
-    stream = L.parse(feeds.folder_stream(spark, str(tmp_path / "in"), 1)).filter("ok").dropDuplicates(["event_id"])
     once = land(spark, str(tmp_path / "in2"), [rows])
     L.to_table(L.closed_sessions(once), str(tmp_path / "s"), str(tmp_path / "sc"), drain=True)
     got = sorted((r.user_id, r.session_start, r.session_length, r.has_cart_item) for r in spark.read.parquet(str(tmp_path / "s")).collect())
