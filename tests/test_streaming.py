@@ -12,7 +12,8 @@ from clickloom.streaming import live as L
 
 def land(spark, path, parts):
     for part in parts:
-        out = feeds.publish(M.encode_events(make(spark, part).withColumn("metadata", F.create_map().cast("map<string,string>"))), "parquet", path=path)
+        # One file per part: the stream takes one file per batch.
+        out = feeds.publish(M.encode_events(make(spark, part).coalesce(1).withColumn("metadata", F.create_map().cast("map<string,string>"))), "parquet", path=path)
         assert out.messages == len(part) and out.per_second > 0
     return L.parse(feeds.folder_stream(spark, path, 1)).filter("ok")
 
