@@ -67,14 +67,15 @@ def test_arrival_state_expires_as_a_whole(spark, tmp_path):
 
 
 def test_duplicates_and_closed_sessions(spark, tmp_path):
-    rows = [("1", "u", "a", "view", 0.0), ("2", "u", "b", "add_to_cart", 1800.0), ("3", "u", "c", "view", 3601.0), ("4", "v", "c", "view", 90000.0)]
+    t0 = 1.7e9  # not the epoch itself: a stream's first watermark is the epoch, and rows on it are late
+    rows = [("1", "u", "a", "view", t0), ("2", "u", "b", "add_to_cart", t0 + 1800), ("3", "u", "c", "view", t0 + 3601), ("4", "v", "c", "view", t0 + 90000)]
     stream = land(spark, str(tmp_path / "in"), [rows[:3] + rows[:1], rows[3:] + rows[3:]])
     L.to_table(L.dedupe(stream), str(tmp_path / "d"), str(tmp_path / "dc"), drain=True)
     assert sorted(r.event_id for r in spark.read.parquet(str(tmp_path / "d")).collect()) == ["1", "2", "3", "4"]
     once = land(spark, str(tmp_path / "in2"), [rows])
     L.to_table(L.closed_sessions(once), str(tmp_path / "s"), str(tmp_path / "sc"), drain=True)
     got = sorted((r.user_id, r.session_start, r.session_length, r.has_cart_item) for r in spark.read.parquet(str(tmp_path / "s")).collect())
-    assert got == [("u", 0.0, 2, True), ("u", 3601.0, 1, False)]
+    assert got == [("u", t0, 2, True), ("u", t0 + 3601, 1, False)]
 
 
 def test_replayed_batch_overwrites_itself(spark, tmp_path):
