@@ -5,10 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clickloom.llm import exact_dedup, simhash
+from clickloom.llm import decontaminate, exact_dedup, quality, simhash, warc
 from clickloom.llm.common import table
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = warc.write(table(spark, sf_dir, "pages"))
+    found = warc.read(warc.archives(spark, path), payloads=False).where("kind = 'record'")
+    return found.select(
+        warc.page_of("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+        warc.page_of("refers_to").alias("refers_to"),
+    )
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.classes(table(spark, sf_dir, "documents"))
 
@@ -18,7 +32,14 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 Q = {
+    "op1_quality": op1_quality,
+    "op3_warc": op3_warc,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_decontaminate": op8_decontaminate,
     "op9_simhash": op9_simhash,
 }

@@ -1,6 +1,14 @@
 """DuckDB SQL for the queries that SQL can express."""
 
 SQL = {
+    "op3_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS h, strlen(coalesce(html, '')) AS n FROM pages),
+        f AS (SELECT page_id, n, sha1(h) AS d, max(page_id) OVER (PARTITION BY h) AS m FROM p)
+        SELECT page_id, n AS payload_bytes, d AS payload_digest,
+               CASE WHEN n >= 1000 AND page_id < m THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN n >= 1000 AND page_id < m THEN m END AS refers_to
+        FROM f
+    """,
     "op7_exact_dedup": """
         WITH n AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
                    FROM documents)
