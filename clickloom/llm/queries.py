@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clickloom.llm import decontaminate, exact_dedup, quality, simhash, warc
+from clickloom.llm import decontaminate, exact_dedup, quality, simhash, suffix_dedup, warc
 from clickloom.llm.common import table
 
 
@@ -36,10 +36,15 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 Q = {
     "op1_quality": op1_quality,
     "op3_warc": op3_warc,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_decontaminate": op8_decontaminate,
     "op9_simhash": op9_simhash,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
