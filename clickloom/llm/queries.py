@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clickloom.llm import decontaminate, exact_dedup, quality, simhash, suffix_dedup, warc
+from clickloom.llm import decontaminate, exact_dedup, lm, pieces, pii, quality, simhash, suffix_dedup, tokenfile, warc
 from clickloom.llm.common import table
 
 
@@ -40,9 +40,36 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every text, and whether decoding them gives the text back."""
+    found = pieces.decode(pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return found.select(
+        "doc_id", F.size("ids").cast("long").alias("n_ids"), F.crc32(F.array_join("ids", " ")).alias("ids_crc32"),
+        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("same_text"), F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts with surrogates. In production the key comes from a secret store."""
+    return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), b"key of this run")
+
+
+def op5_tokenfile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, code = tokenfile.write(table(spark, sf_dir, "documents"))
+    return tokenfile.read(path, code, spark, ids=False)
+
+
+def op6_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
 Q = {
     "op1_quality": op1_quality,
+    "op2_sentencepiece": op2_sentencepiece,
     "op3_warc": op3_warc,
+    "op4_pii": op4_pii,
+    "op5_tokenfile": op5_tokenfile,
+    "op6_lm": op6_lm,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_decontaminate": op8_decontaminate,
     "op9_simhash": op9_simhash,
