@@ -9,11 +9,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clickloom.llm import exact_dedup, simhash
+from clickloom.llm import decontaminate, exact_dedup, pieces, quality, simhash
 from clickloom.llm.common import table, tuned
 from clickloom.session import stage
 
 
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go."""
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    return quality.keep(docs, model)
+
+
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the largest doc_id stays."""
     tuned(spark)
@@ -26,9 +32,23 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return simhash.dedup(docs, words=3, bits=2)
 
 
+def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark passage go."""
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents with their SentencePiece ids, and the text that these decode to."""
+    tuned(spark)
+    return pieces.decode(pieces.encode(docs))
+
+
 STAGES = [
+    ("good_quality", good_quality),
     ("exact_copies", exact_copies),
     ("near_copies", near_copies),
+    ("benchmark_free", benchmark_free),
+    ("token_ids", token_ids),
 ]
 
 # neither a trained classifier nor SimHash can be written in SQL
