@@ -22,6 +22,7 @@ from __future__ import annotations
 import bisect
 import hashlib
 import struct
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -41,7 +42,7 @@ BACK = SPAN - GRAM
 KEY = SPAN + 1 + BACK + 1
 BATCH_BYTES = 2 << 20
 PIECE_BYTES = 4 << 20
-LARGE_GROUP = 2048
+LARGE_GROUP = 16384
 NO_ID = -(1 << 63)
 _M = np.uint64(0x9E3779B97F4A7C15)
 _B = 0x100000001B3
@@ -302,29 +303,36 @@ CUT_DDL = "part long, row long, begin long, end long, key binary, doc long, pos
 
 
 def shared_parts(group: list[tuple[bytes, tuple]]) -> list[tuple[tuple, int, int]]:
-    """(place, bytes back, bytes on) of what later members of one anchor string share with earlier ones."""
+    """(place, bytes back, bytes on) of what later members of one anchor string share with earlier ones.
+
+    All shared strings of a member hold its anchor, so together they are one interval.
+    """
     group.sort(key=lambda g: g[1])
     a = np.frombuffer(b"".join(k for k, _ in group), np.uint8).reshape(-1, KEY)
-    out = []
+    ahead, behind = a[:, SPAN].astype(int), a[:, -1].astype(int)
+    reach = np.zeros((2, len(group)), int)
     if len(group) <= 48:
         for j in range(1, len(group)):
             differ = a[:j] != a[j]
             on, back = differ[:, :SPAN], differ[:, SPAN + 1 : SPAN + 1 + BACK]
             on = np.where(on.any(1), on.argmax(1), SPAN)
             back = np.where(back.any(1), back.argmax(1), BACK)
-            on = np.minimum(on, np.minimum(a[:j, SPAN], a[j, SPAN]))
-            back = np.minimum(back, np.minimum(a[:j, -1], a[j, -1]))
-            for r, n in {(int(r), int(n)) for r, n in zip(back, on) if r + n >= SPAN}:
-                out.append((group[j][1], r, n))
-        return out
-    seen = set()
-    for key, place in group:
-        for r, window in windows(key):
-            if window in seen:
-                out.append((place, r, SPAN - r))
-            else:
-                seen.add(window)
-    return out
+            on = np.minimum(on, np.minimum(ahead[:j], ahead[j]))
+            back = np.minimum(back, np.minimum(behind[:j], behind[j]))
+            ok = on + back >= SPAN
+            if ok.any():
+                reach[:, j] = back[ok].max(), on[ok].max()
+    else:
+        for r in range(BACK + 1):
+            own = np.flatnonzero((behind >= r) & (ahead >= SPAN - r))
+            near = a[own, SPAN + 1 : SPAN + 1 + r][:, ::-1]
+            window = np.ascontiguousarray(np.concatenate([near, a[own, : SPAN - r]], axis=1))
+            seen: dict[bytes, int] = {}
+            flat = window.tobytes()
+            for k, i in enumerate(own.tolist()):
+                if seen.setdefault(flat[k * SPAN : (k + 1) * SPAN], i) != i:
+                    reach[:, i] = max(reach[0, i], r), max(reach[1, i], SPAN - r)
+    return [(group[j][1], int(reach[0, j]), int(reach[1, j])) for j in np.flatnonzero(reach.sum(0)).tolist()]
 
 
 def windows(key: bytes):
@@ -398,15 +406,72 @@ def _owner_merge(split: set[bytes]):
     return run
 
 
-WINDOW = pa.schema([("window", pa.binary()), ("doc", pa.int64()), ("part", pa.int64()), ("row", pa.int64()), ("begin", pa.int64())])
+WINDOW = pa.schema([
+    ("window", pa.binary()), ("doc", pa.int64()), ("part", pa.int64()), ("row", pa.int64()), ("begin", pa.int64()), ("cuts", pa.binary()),
+])
+WINDOW_DDL = "window binary, doc long, part long, row long, begin long, cuts binary"
+
+
+class _Later:
+    """Cuts of one task, packed by batch of documents."""
+
+    def __init__(self):
+        self.by_part: dict[int, list[int]] = {}
+
+    def add(self, place: tuple):
+        self.by_part.setdefault(place[1], []).extend((place[2], place[3], place[3] + SPAN))
+
+    def rows(self):
+        parts = list(self.by_part)
+        packed = [np.array(self.by_part[p], np.int64).tobytes() for p in parts]
+        self.by_part.clear()
+        n = [None] * len(parts)
+        return rows(WINDOW, n, n, parts, n, n, packed)
 
 
 def _windows(batches):
+    """The earliest place of every window in the task; later places are cut at once."""
+    first: dict[bytes, tuple] = {}
+    later = _Later()
+
+    def flush():
+        some = list(first.items())
+        first.clear()
+        for a in range(0, len(some), 10_000):
+            b = some[a : a + 10_000]
+            yield rows(WINDOW, [w for w, _ in b], *zip(*(p for _, p in b)), [None] * len(b))
+        if later.by_part:
+            yield later.rows()
+
     for rb in batches:
         for key, doc, part, row, pos in zip(*(rb.column(c).to_pylist() for c in ("key", "doc", "part", "row", "pos"))):
-            found = [(w, doc, part, row, pos - r) for r, w in windows(key)]
-            if found:
-                yield rows(WINDOW, *zip(*found))
+            for r, w in windows(key):
+                place = (doc, part, row, pos - r)
+                was = first.setdefault(w, place)
+                # two anchors of a window give it twice in one place
+                if was != place:
+                    first[w] = min(was, place)
+                    later.add(max(was, place))
+        if len(first) > 200_000:
+            yield from flush()
+    yield from flush()
+
+
+def _first_windows(batches):
+    """Windows in sorted order: all places but the first of each are cut."""
+    last, first, later, n = None, None, _Later(), 0
+    for rb in batches:
+        for w, *place in zip(*(rb.column(c).to_pylist() for c in ("window", "doc", "part", "row", "begin"))):
+            if w != last:
+                last, first = w, place
+            elif place != first:
+                later.add(tuple(place))
+                n += 1
+        if n > 200_000:
+            yield later.rows()
+            n = 0
+    if later.by_part:
+        yield later.rows()
 
 
 KEPT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -426,10 +491,11 @@ def _apply(text: bool):
             if key[SPAN] + key[-1] >= SPAN:
                 edge[first[r] + p - key[-1]] += 1
                 edge[first[r] + p + key[SPAN]] -= 1
-        if len(cuts):
-            base = first[cuts["row"].to_numpy(np.int64)]
-            np.add.at(edge, base + cuts["begin"].to_numpy(np.int64), 1)
-            np.add.at(edge, base + cuts["end"].to_numpy(np.int64), -1)
+        some = [cuts.loc[cuts["cuts"].isna(), ["row", "begin", "end"]].to_numpy(np.int64)]
+        some += [np.frombuffer(c, np.int64).reshape(-1, 3) for c in cuts["cuts"].dropna()]
+        r, begin, end = np.concatenate(some).T
+        np.add.at(edge, first[r] + begin, 1)
+        np.add.at(edge, first[r] + end, -1)
         gone = np.cumsum(edge[:-1]) > 0
         out = []
         for d, no, n, a in zip(doc.tolist(), none.tolist(), size.tolist(), first.tolist()):
@@ -469,13 +535,17 @@ def remove_repeats(docs: DataFrame, text: bool = False) -> DataFrame:
     # splitters: at most 40 suffixes of 170 bytes for each owner
     drawn = whole.mapInArrow(_sample, "part long, n int, key binary").orderBy(F.xxhash64("part", "n"), "part", "n")
     drawn = sorted(bytes(r.key) for r in drawn.limit(40 * owners).select("key").collect())
-    splitters = sorted({drawn[len(drawn) * k // owners] for k in range(1, owners)}) if drawn else []
+    splitters = [drawn[len(drawn) * k // owners] for k in range(1, owners)] if drawn else []
+    # an anchor string that several splitters fall into is frequent and is split; others stay whole
+    often = Counter(k[:GRAM] for k in splitters)
+    split = {g for g, n in often.items() if n > 1}
+    splitters = sorted({k if k[:GRAM] in split else k[:GRAM] for k in splitters})
     runs = whole.groupBy("part").cogroup(marks.groupBy("part")).applyInPandas(_sorted_runs(splitters), RUN_DDL)
-    found = stage(runs.groupBy("owner").applyInArrow(_owner_merge({k[:GRAM] for k in splitters}), CUT_DDL), "cuts")
-    spread = found.where("key is not null").mapInArrow(_windows, "window binary, doc long, part long, row long, begin long")
-    place = F.struct("doc", "part", "row", "begin")
-    first = spread.groupBy("window").agg(F.min(place).alias("first"))
-    later = spread.join(first, "window").where(place > F.col("first"))
-    cuts = found.where("key is null").select("part", "row", "begin", "end")
-    cuts = cuts.unionByName(later.select("part", "row", "begin", (F.col("begin") + SPAN).alias("end")))
+    found = stage(runs.groupBy("owner").applyInArrow(_owner_merge(split), CUT_DDL), "cuts")
+    spread = stage(found.where("key is not null").mapInArrow(_windows, WINDOW_DDL), "windows")
+    met = spread.where("cuts is null").repartition(owners, "window").sortWithinPartitions("window", "doc", "part", "row", "begin")
+    packed_cuts = met.mapInArrow(_first_windows, WINDOW_DDL).unionByName(spread.where("cuts is not null"))
+    cuts = found.where("key is null").select("part", "row", "begin", "end", F.lit(None).cast("binary").alias("cuts"))
+    none = [F.lit(None).cast("long").alias(c) for c in ("row", "begin", "end")]
+    cuts = cuts.unionByName(packed_cuts.select("part", *none, "cuts"))
     return whole.groupBy("part").cogroup(cuts.groupBy("part")).applyInPandas(_apply(text), KEPT + (", kept binary" if text else ""))
