@@ -12,6 +12,7 @@ PAGE_FOR_EVENT = {"view": "product", "add_to_cart": "cart", "purchase": "cart",
 DEFAULT_PAGE = "home"
 
 SNIPPET_CHARS = 200
+DECIMAL = r"^\s*[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|(?i:inf(inity)?))\s*$"
 
 
 def _c(col: Column | str) -> Column:
@@ -19,9 +20,12 @@ def _c(col: Column | str) -> Column:
 
 
 def lenient_double(col: Column | str) -> Column:
-    """Number, or NULL when the text is not one. NaN counts as missing."""
+    """Number, or NULL when the text is not one. NaN counts as missing.
+
+    The pattern keeps out what only the JVM reads as a number: type suffixes (12d, 3F) and hexadecimal.
+    """
     value = _c(col).try_cast("double")
-    return F.when(~F.isnan(value), value)
+    return F.when(_c(col).cast("string").rlike(DECIMAL) & ~F.isnan(value), value)
 
 
 def safe_float(col: Column | str) -> Column:

@@ -14,10 +14,6 @@ def doubles(v: Column | str) -> Column:
     return _c(v).cast("array<double>")
 
 
-def dot(a: Column | str, b: Column | str) -> Column:
-    return F.aggregate(F.zip_with(doubles(a), doubles(b), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-
-
 def norm(v: Column | str) -> Column:
     return F.sqrt(F.aggregate(doubles(v), F.lit(0.0), lambda s, x: s + x * x))
 

@@ -144,10 +144,3 @@ def popular(items: DataFrame, n: int) -> DataFrame:
         F.coalesce("review_count", F.lit(0)).cast("bigint").alias("review_count"),
         F.lit(0.0).alias("score"),
     )
-
-
-def popular_list(items: DataFrame, n: int) -> Column:
-    """The top n as one scalar-subquery value: a ranked array of at most n item ids."""
-    top = items.orderBy(F.desc("review_count"), "item_id").limit(n)
-    ranked = top.agg(F.array_sort(F.collect_list(F.struct((-F.col("review_count")).alias("k"), "item_id"))).alias("l"))
-    return ranked.select(F.transform("l", lambda x: x["item_id"])).scalar()

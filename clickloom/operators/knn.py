@@ -92,6 +92,8 @@ def _finish(rows: DataFrame, kind: str, geometry: np.ndarray, block_items: int)
 
 
 def _cluster_count(n: int, wanted: int | None) -> int:
+    if wanted and wanted > MAX_CLUSTERS:
+        raise ValueError(f"at most {MAX_CLUSTERS} clusters")
     return max(1, min(MAX_CLUSTERS, n, wanted or math.ceil(n / ITEMS_PER_CLUSTER)))
 
 
@@ -120,7 +122,9 @@ def plane_index(items: DataFrame, bits: int = 4, block_items: int = BLOCK_ITEMS,
     """Buckets by the signs against random hyperplanes (locality-sensitive hashing for cosine)."""
     rows = _unit_rows(items, "item_id", "embedding", "item_id")
     dim = rows.select(F.max(F.size("vec")).alias("d")).first().d
-    planes = np.random.default_rng(seed).standard_normal((min(bits, int(math.log2(MAX_CLUSTERS))), dim))
+    if 1 << bits > MAX_CLUSTERS:
+        raise ValueError(f"at most {MAX_CLUSTERS} buckets")
+    planes = np.random.default_rng(seed).standard_normal((bits, dim))
     return _finish(rows, "planes", planes, block_items)
 
 

@@ -67,6 +67,18 @@ def feedback_events(feedback: DataFrame) -> DataFrame:
     )
 
 
+def rejected(n: str) -> Column:
+    """Whether the asked length of a list is out of bounds (no length is not)."""
+    return F.coalesce(~F.col(n).between(MIN_N, MAX_N), F.lit(False))
+
+
+def accepted(requests: DataFrame) -> DataFrame:
+    """Requests whose list length is in bounds, with the default where none is given."""
+    return requests.filter(~rejected("n_recommendations")).withColumn(
+        "n_recommendations", F.coalesce("n_recommendations", F.lit(DEFAULT_N))
+    )
+
+
 def validate_requests(requests: DataFrame) -> DataFrame:
     """Fill the default list length and name the reason of a rejection (NULL when accepted)."""
     n = F.coalesce("n_recommendations", F.lit(DEFAULT_N))

@@ -88,19 +88,26 @@ def request_counts(log: DataFrame) -> DataFrame:
     return log.groupBy("status", "device").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _panes(log: DataFrame, slide: str, *by: str) -> DataFrame:
+    """Counts per step of the sliding windows: a row is counted once and only the counts are repeated."""
+    pane = F.window("ts", slide)["start"].alias("pane")
+    return log.groupBy(pane, *by).agg(F.count(F.lit(1)).alias("n"))
+
+
 def request_rate(log: DataFrame, window: str = "1 minute", slide: str = "15 seconds") -> DataFrame:
     """Requests per minute by series in sliding windows (plain counts, no extrapolation)."""
     return (
-        log.groupBy(F.window("ts", window, slide).alias("w"), "status", "device")
-        .agg(F.count(F.lit(1)).alias("n"))
+        _panes(log, slide, "status", "device")
+        .groupBy(F.window("pane", window, slide).alias("w"), "status", "device")
+        .agg(F.sum("n").alias("n"))
         .select(F.unix_micros("w.end").alias("window_end_us"), "status", "device", "n")
     )
 
 
 def status_ratio(log: DataFrame, status: str, levels: tuple[float, float], window: str = "5 minutes", slide: str = "15 seconds") -> DataFrame:
     """Share of one status per sliding window, and its level."""
-    ratio = F.count_if(F.col("status") == status) / F.count(F.lit(1))
-    out = log.groupBy(F.window("ts", window, slide).alias("w")).agg(ratio.alias("ratio"))
+    ratio = F.coalesce(F.sum(F.when(F.col("status") == status, F.col("n"))), F.lit(0)) / F.sum("n")
+    out = _panes(log, slide, "status").groupBy(F.window("pane", window, slide).alias("w")).agg(ratio.alias("ratio"))
     level = F.when(F.col("ratio") >= levels[1], "red").when(F.col("ratio") >= levels[0], "yellow").otherwise("green")
     return out.select(F.unix_micros("w.end").alias("window_end_us"), "ratio", level.alias("level"))
 

@@ -101,7 +101,10 @@ def session_runs(
     first_in_bucket = F.col("_rn") == 1
     start_pos = F.coalesce(F.col("_base") + F.col("_start_rn"), F.col("_in_start_pos"))
     hit_pos = F.greatest(F.col("_base") + F.col("_hit_rn"), F.col("_in_hit_pos"))
-    return local.join(carried, part).select(
+    # null-safe: events without key or time form a timeline of their own instead of going missing
+    carried = carried.withColumnsRenamed({c: f"_c{c}" for c in part})
+    same = local[key].eqNullSafe(carried[f"_c{key}"]) & local["_b"].eqNullSafe(carried["_c_b"])
+    return local.join(carried, same).select(
         *events.columns,
         pos.alias("pos"),
         (F.col("_in_sessions") + F.col("_nbrk")).alias("session_no"),

@@ -83,7 +83,7 @@ ev AS (
          epoch_us(ts) / 1e6 AS "timestamp",
          CASE WHEN event_id % 17 <> 0 THEN ['mobile', 'desktop', 'tablet'][event_id % 3 + 1] END AS device,
          CASE WHEN event_id % 17 <> 0 THEN {PAGE} END AS page,
-         CASE WHEN event_id % 17 <> 0 THEN ['google', 'direct', 'email', 'social', 'internal'][event_id % 5 + 1] END AS referrer
+         CASE WHEN event_id % 17 <> 0 THEN ['search', 'newsletter', 'partner', 'app', 'bookmark'][event_id % 5 + 1] END AS referrer
   FROM events)
 """
 

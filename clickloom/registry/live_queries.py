@@ -88,12 +88,16 @@ def metrics_snapshot(spark, d):
 # ------------------------------------------------------------------ streams
 
 
-def landed(spark: SparkSession, events: DataFrame, name: str, damage: bool = False) -> str:
-    """Events as messages in a landing folder, in three slices of ten days, oldest first."""
+def landed(spark: SparkSession, events: DataFrame, name: str, damage: bool = False, one_file: bool = False) -> str:
+    """Events as messages in a landing folder, in three slices of ten days, oldest first.
+
+    With `one_file` a slice is one file, and so one micro-batch.
+    """
     path = new_path(spark, name)
     for i in range(3):
-        day = F.floor((F.col("timestamp") - 1704067200.0) / 864000)
+        day = F.greatest(F.lit(0), F.coalesce(F.floor((F.col("timestamp") - 1704067200.0) / 864000), F.lit(0)))
         part = events.filter(F.least(F.lit(2), day) == i)
+        part = part.coalesce(1) if one_file else part
         out = M.encode_events(part)
         feeds.publish(M.damaged(out) if damage else out, "parquet", path=path)
     return path
@@ -130,11 +134,11 @@ def stream_dedupe(spark, d):
 
 @query
 def stream_batch_stats(spark, d):
-    """Events per micro-batch, summed; and the largest number of users in one."""
-    path = landed(spark, T.events(spark, d), "landing-stats")
+    """Events and users of every micro-batch."""
+    path = landed(spark, T.events(spark, d), "landing-stats", one_file=True)
     table, checkpoint = L.scratch(spark, "stream-stats")
     L.to_batches(event_stream(spark, path), table, checkpoint, drain=True, mode="append", shape=L.batch_stats)
-    return spark.read.parquet(table).agg(F.sum("events").alias("events"), (F.count(F.lit(1)) >= 3).alias("several_batches"))
+    return spark.read.parquet(table).select("events", "users")
 
 
 @query
@@ -160,7 +164,7 @@ def stream_request_rate(spark, d):
     log = T.request_log(spark, d).select("ts", "status", "device")
     path = new_path(spark, "landing-log")
     for i in range(3):
-        day = F.floor((F.unix_micros("ts") / 1e6 - 1704067200.0) / 864000)
+        day = F.greatest(F.lit(0), F.coalesce(F.floor((F.unix_micros("ts") / 1e6 - 1704067200.0) / 864000), F.lit(0)))
         log.filter(F.least(F.lit(2), day) == i).write.mode("append").parquet(path)
     table, checkpoint = L.scratch(spark, "stream-rate")
     stream = feeds.folder_stream(spark, path, 1, "ts timestamp, status string, device string")

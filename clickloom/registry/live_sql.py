@@ -82,7 +82,9 @@ UNION ALL SELECT 'recsys_model_info', 'cf_model_version=1,ranker_model_version=1
 
 SQL["stream_event_parse"] = batch_sql.SQL["event_parse"]
 SQL["stream_dedupe"] = f"""WITH {EV} SELECT event_id, user_id, item_id, event_type, "timestamp" FROM ev"""
-SQL["stream_batch_stats"] = "SELECT count(*) AS events, true AS several_batches FROM events"
+SQL["stream_batch_stats"] = f"""WITH {EV}
+SELECT count(*) AS events, count(DISTINCT user_id) AS users FROM ev
+GROUP BY least(2, greatest(0, floor(("timestamp" - 1704067200.0) / 864000)))"""
 
 SQL["stream_session_state"] = f"""WITH {EV}, {runs(DAY)}, {runs(DAY, "vrun", where="item_id IS NOT NULL AND item_id <> ''")},
 last_s AS (SELECT user_id, min("timestamp") AS session_start, max("timestamp") AS last_seen, count(*) AS session_length, bool_or(event_type = 'click') AS has_cart_item

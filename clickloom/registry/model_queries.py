@@ -46,13 +46,15 @@ def session_requests(spark: SparkSession, d: str) -> DataFrame:
 
 
 def serving_tables(spark: SparkSession, d: str) -> REC.Tables:
-    vectors = T.item_embeddings(spark, d)
+    items, vectors = T.items(spark, d), T.item_embeddings(spark, d)
+    # only items with both a vector and catalogue data are searched, so none takes a place in vain
+    known = vectors.join(items.select("item_id"), "item_id", "left_semi")
     return REC.Tables(
-        items=T.items(spark, d),
+        items=items,
         vectors=vectors,
         factors=T.user_factors(spark, d),
         history=C.history(T.interactions(spark, d)),
-        index=K.pivot_index(vectors),
+        index=K.pivot_index(known),
         total_dim=T.TOTAL_DIM,
     )
 
@@ -315,7 +317,7 @@ def search_fuzzy(spark, d):
 
 # ------------------------------------------------------------------ iterative models
 
-ALS_SETTINGS = {"factors": 16, "iterations": 5, "blocks": 4}
+ALS_SETTINGS = {"factors": 16, "iterations": 5}
 TREE_SETTINGS = {"trees": 10, "depth": 4, "step": 0.1}
 
 

@@ -54,6 +54,7 @@ def write_history(history: DataFrame, path: str, buckets: int = 256) -> None:
     `history` must hold all users of the partitions it touches, which `upsert_history` gives.
     """
     rows = history.withColumn("part", F.pmod(F.xxhash64("user_id"), F.lit(buckets)).cast("int"))
+    rows = rows.repartition("part")  # one file per part and task that holds it
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(path)
 
 
@@ -61,7 +62,8 @@ def write_index(spark: SparkSession, rows: DataFrame, path: str, recreate: bool
     """Write the item index, or leave an existing one alone. Returns whether it was written."""
     if exists(spark, path) and not recreate:
         return False
-    rows.write.mode("overwrite").partitionBy("cluster_id").parquet(path)
+    salt = F.pmod(F.xxhash64("item_id"), F.lit(4))  # a large cluster is written by four tasks
+    rows.repartition("cluster_id", salt).write.mode("overwrite").partitionBy("cluster_id").parquet(path)
     return True
 
 

@@ -56,8 +56,11 @@ def event_time(events: DataFrame, delay: str) -> DataFrame:
 
 
 def dedupe(events: DataFrame, delay: str = "30 minutes") -> DataFrame:
-    """First copy of every event id; the ids are forgotten once the watermark has passed."""
-    return event_time(events, delay).dropDuplicatesWithinWatermark(["event_id"])
+    """First copy of every event; its key is forgotten once the watermark has passed.
+
+    User and item belong to the key, since ids of feedback hold no more than the second.
+    """
+    return event_time(events, delay).dropDuplicatesWithinWatermark(["event_id", "user_id", "item_id"])
 
 
 def batch_stats(batch: DataFrame, batch_id: int) -> DataFrame:
