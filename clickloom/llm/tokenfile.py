@@ -123,7 +123,8 @@ def _tokenise(path: str):
             yield rows(TOKENS, rb.column(0).to_pylist(), [len(i) for i in ids],
                        [narrow[2].encode() + i.astype(narrow).tobytes() for i in ids], [None] * len(ids))
         used = np.flatnonzero(total)
-        yield rows(TOKENS, [None], [-1], [None], [np.stack([used, total[used]], 1).ravel()])
+        if len(used):
+            yield rows(TOKENS, [None], [-1], [None], [np.stack([used, total[used]], 1).ravel()])
 
     return run
 
