@@ -54,6 +54,23 @@ def tokens(text: bytes) -> np.ndarray:
     return np.fromiter((*map(xxhash.xxh64_intdigest, w), END), np.uint64, len(w) + 1)
 
 
+def pack(ids: list, texts: list[bytes]) -> bytes:
+    """Documents of a batch in one compressed value. Text packs smaller than its tokens."""
+    head = struct.pack("<I", len(ids)) + np.array([i is None for i in ids], np.uint8).tobytes()
+    head += np.array([0 if i is None else i for i in ids], np.int64).tobytes() + np.array([len(t) for t in texts], np.int64).tobytes()
+    return zstandard.compress(head + b"".join(texts), 3)
+
+
+def unpack(blob: bytes) -> tuple[list, list[bytes]]:
+    raw = zstandard.decompress(blob)
+    n = struct.unpack_from("<I", raw)[0]
+    none = np.frombuffer(raw, np.uint8, n, 4).tolist()
+    ids = np.frombuffer(raw, np.int64, n, 4 + n).tolist()
+    ends = (np.cumsum(np.frombuffer(raw, np.int64, n, 4 + 9 * n)) + 4 + 17 * n).tolist()
+    texts = [raw[a:b] for a, b in zip([4 + 17 * n, *ends], ends)]
+    return [None if no else i for i, no in zip(ids, none)], texts
+
+
 class Batch:
     """Documents as indices into the batch's own vocabulary, and their distinct word pairs."""
 
@@ -77,22 +94,9 @@ class Batch:
         return cls(np.array([0 if i is None else i for i in ids], np.int64), np.array([i is None for i in ids]),
                    np.array([role(i) for i in ids], np.uint8), np.array([len(e) for e in each], np.int64), words, at)
 
-    def pack(self) -> bytes:
-        gaps = np.diff(self.words, prepend=np.uint64(0))
-        head = struct.pack("<III", len(self.ids), len(self.words), len(self.at))
-        parts = (self.ids, self.none.astype(np.uint8), self.roles, self.size.astype(np.uint32), gaps, self.at.astype(np.uint32))
-        return zstandard.compress(head + b"".join(p.tobytes() for p in parts), 3)
-
     @classmethod
     def unpack(cls, blob: bytes) -> Batch:
-        raw = zstandard.decompress(blob)
-        n, v, k = struct.unpack_from("<III", raw)
-        out, pos = [], 12
-        for kind, m in ((np.int64, n), (np.uint8, n), (np.uint8, n), (np.uint32, n), (np.uint64, v), (np.uint32, k)):
-            out.append(np.frombuffer(raw, kind, m, pos))
-            pos += out[-1].nbytes
-        ids, none, roles, size, gaps, at = out
-        return cls(ids, none.astype(bool), roles, size.astype(np.int64), np.cumsum(gaps, dtype=np.uint64), at.astype(np.int64))
+        return cls.of(*unpack(blob))
 
     def sent(self) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
         """(kind, sorted keys, counts to estimate from, counts of all training documents)."""
@@ -137,40 +141,40 @@ def _unpack_keys(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(keys, dtype=np.uint64), counts
 
 
+PACKED = pa.schema([("part", pa.int64()), ("held", pa.bool_()), ("blob", pa.binary())])
+
+
+def _pack(batches):
+    """Batches of documents; those that are held back from the estimates are packed apart."""
+    part, some = TaskContext.get().partitionId() << 32, {False: ([], []), True: ([], [])}
+    size = {False: 0, True: 0}
+    for ids, texts in text_batches(batches, BATCH_BYTES):
+        for i, t in zip(ids, texts):
+            held = role(i) == HELD
+            if some[held][0] and size[held] + len(t) > BATCH_BYTES:
+                yield rows(PACKED, [part], [held], [pack(*some[held])])
+                some[held], size[held], part = ([], []), 0, part + 1
+            some[held][0].append(i)
+            some[held][1].append(t)
+            size[held] += len(t)
+    for held in (False, True):
+        if some[held][0]:
+            yield rows(PACKED, [part], [held], [pack(*some[held])])
+            part += 1
+
+
 SENT = pa.schema([("part", pa.int64()), ("owner", pa.int32()), ("kind", pa.int32()), ("blob", pa.binary())])
 SENT_DDL = "part long, owner int, kind int, blob binary"
-TEXTS, HELD_TEXTS = 0, -1  # kinds of the packed batches
 
 
 def _send(owners: int):
     def run(batches):
-        part = TaskContext.get().partitionId() << 32
-        held: tuple[list, list] = ([], [])
-        size = 0
-
-        def emit(ids, texts, kind):
-            nonlocal part
-            b = Batch.of(ids, texts)
-            out = [(part, -1, kind, b.pack())]
-            for k, keys, est, train in b.sent():
-                out += [(part, o, k, _pack_keys(keys[a:e], est[a:e], train[a:e])) for o, a, e in runs(keys, owners)]
-            part += 1
-            return rows(SENT, *zip(*out))
-
-        for ids, texts in text_batches(batches, BATCH_BYTES):
-            apart = [role(i) == HELD for i in ids]
-            if not all(apart):
-                yield emit([i for i, h in zip(ids, apart) if not h], [t for t, h in zip(texts, apart) if not h], TEXTS)
-            for i, t, h in zip(ids, texts, apart):
-                if h:
-                    held[0].append(i)
-                    held[1].append(t)
-                    size += len(t)
-            if size > BATCH_BYTES:
-                yield emit(*held, HELD_TEXTS)
-                held, size = ([], []), 0
-        if held[0]:
-            yield emit(*held, HELD_TEXTS)
+        for rb in batches:
+            for part, blob in zip(rb.column(0).to_pylist(), rb.column(1).to_pylist()):
+                out = []
+                for k, keys, est, train in Batch.unpack(blob).sent():
+                    out += [(part, o, k, _pack_keys(keys[a:e], est[a:e], train[a:e])) for o, a, e in runs(keys, owners)]
+                yield rows(SENT, *zip(*out))
 
     return run
 
@@ -282,13 +286,13 @@ def score(docs: DataFrame) -> DataFrame:
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     owners = tasks(spark, size, 16 << 20)
-    sent = stage(source.mapInArrow(_send(owners), SENT_DDL), "ngrams")
-    batches = sent.where("owner = -1").select("part", "kind", "blob")
-    answers = stage(sent.where("owner >= 0").groupBy("owner", "kind").applyInPandas(_answer, ANSWER), "counts")
+    batches = stage(source.mapInArrow(_pack, "part long, held boolean, blob binary"), "batches")
+    sent = batches.select("part", "blob").mapInArrow(_send(owners), SENT_DDL)
+    answers = stage(sent.groupBy("owner", "kind").applyInPandas(_answer, ANSWER), "counts")
     total = answers.where("part = -1").agg(F.sum("n_est"), F.sum("n_train"), F.sum("v")).first()
     n_est, n, v = (int(x or 0) for x in total)
     back = answers.where("part >= 0").select("part", "owner", "kind", "blob")
-    held = batches.where(F.col("kind") == HELD_TEXTS)
+    held = batches.where("held")
     cells = (
         held.groupBy("part").cogroup(back.join(held.select("part"), "part", "left_semi").groupBy("part"))
         .applyInPandas(_histogram(owners, n_est), "bucket long, pair long, word long, n long")
