@@ -33,7 +33,7 @@ END_ID = 2
 MAX_BITS = 18
 BLOCK_IDS = 1 << 16
 STEP = 256
-CACHED = 250_000
+CACHED = 500_000
 
 # Safe text: letters whose lower case and composition are fixed, single digits, ASCII punctuation except
 # what starts a contraction or a special token.
