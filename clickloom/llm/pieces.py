@@ -32,6 +32,7 @@ _MUL = 0x9E3779B97F4A7C15
 _FULL = (1 << 64) - 1
 CACHED_WORDS = 300_000
 SLOTS = 1 << 20
+BATCH_BYTES = 6 << 20  # of text whose distinct words are encoded together
 
 
 def _hash(text: str) -> int:
@@ -94,7 +95,7 @@ class Pieces:
         self.piece_bytes = np.frombuffer(b"".join(self._bytes(i) for i in range(len(self.texts))), np.uint8)
         self.piece_size = np.array(sizes)
         self.piece_at = np.cumsum(sizes) - self.piece_size
-        self.cache: dict[str, np.ndarray] = {}
+        self.cache: dict[str, bytes] = {}
         self.slot_key = np.full(SLOTS, _FULL, np.uint64)
         self.slot_value = np.zeros(SLOTS, bool)
 
@@ -202,8 +203,8 @@ class Pieces:
 
     # -- Viterbi
 
-    def words(self, units: list[str]) -> list[np.ndarray]:
-        """Ids of every unit; equal lengths advance together."""
+    def words(self, units: list[str]) -> list[bytes]:
+        """Ids of every unit as 32-bit integers; equal lengths advance together."""
         out: list = [None] * len(units)
         size = np.array([len(u) for u in units])
         for n in np.unique(size).tolist():
@@ -259,15 +260,16 @@ class Pieces:
         order = np.lexsort((place, unit))
         unit, piece, place = unit[order], piece[order], place[order]
         ids, cut = piece.astype(np.int32), np.searchsorted(unit, np.arange(len(units) + 1)).tolist()
+        raw = ids.tobytes()
         strange = set(unit[piece < 0].tolist())
         for k, (a, b) in enumerate(zip(cut, cut[1:])):
             if k not in strange:
-                out[where[k]] = ids[a:b]
+                out[where[k]] = raw[4 * a : 4 * b]
                 continue
             mixed = []
             for i, p in zip(ids[a:b].tolist(), place[a:b].tolist()):
                 mixed += [i] if i >= 0 else self._bytes_of(chr(int(char[k, p - 1])))
-            out[where[k]] = np.array(mixed, np.int32)
+            out[where[k]] = np.array(mixed, np.int32).tobytes()
 
     def _bytes_of(self, c: str) -> list[int]:
         raw = c.encode("utf-8", "replace")
@@ -286,16 +288,13 @@ class Pieces:
         cache = self.cache
         split = [self.units(t) if "\x00" not in t else self._with_nul(t) for t in texts]
         fresh = list(dict.fromkeys(u for s in split for u in s if u not in cache))
-        own = dict(zip(fresh, self.words(fresh))) if fresh else {}
-        if len(cache) + len(own) > CACHED_WORDS:
-            cache.clear()
+        cache.update(zip(fresh, self.words(fresh)))
         out = []
-        for s in split:
-            ids = [own[u] if u in own else cache[u] for u in s] if not cache else [cache[u] if u in cache else own[u] for u in s]
-            line = np.concatenate(ids) if ids else np.zeros(0, np.int32)
+        for units in split:
+            line = np.frombuffer(b"".join(map(cache.__getitem__, units)), np.int32)
             out.append(self._space_runs(line) if self.merges and self.space_run else line)
-        if len(cache) + len(own) <= CACHED_WORDS:
-            cache.update(own)
+        if len(cache) > CACHED_WORDS:
+            cache.clear()
         return out
 
     def _with_nul(self, text: str) -> list[str]:
@@ -353,22 +352,26 @@ IDS = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
 
 
 def _encode(path: str, at: int):
+    def ids(model, some: list[pa.RecordBatch]):
+        found = model.encode([t or "" for rb in some for t in rb.column(at).to_pylist()])
+        k = 0
+        for rb in some:
+            own = found[k : k + rb.num_rows]
+            k += rb.num_rows
+            offsets = np.cumsum([0] + [len(x) for x in own]).astype(np.int32)
+            flat = np.concatenate(own) if own else np.zeros(0, np.int32)
+            column = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int32()))
+            yield pa.RecordBatch.from_arrays([*rb.columns, column], names=[*rb.schema.names, "ids"])
+
     def run(batches):
-        model = load(path)
+        model, some, size = load(path), [], 0
         for rb in batches:
-            texts = rb.column(at).to_pylist()
-            step, size, part = [], 0, []
-            for t in texts:
-                part.append(t or "")
-                size += len(part[-1])
-                if size > 1 << 21:
-                    step += model.encode(part)
-                    part, size = [], 0
-            step += model.encode(part) if part else []
-            offsets = np.cumsum([0] + [len(x) for x in step]).astype(np.int32)
-            flat = np.concatenate(step) if step else np.zeros(0, np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int32()))
-            yield pa.RecordBatch.from_arrays([*rb.columns, ids], names=[*rb.schema.names, "ids"])
+            some.append(rb)
+            size += rb.column(at).nbytes
+            if size > BATCH_BYTES:
+                yield from ids(model, some)
+                some, size = [], 0
+        yield from ids(model, some)
 
     return run
 
