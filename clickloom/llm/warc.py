@@ -1,19 +1,20 @@
 """WARC archives: a writer over pages and a salvage reader.
 
-The writer makes one record per page in uncompressed WARC/1.1 files of bounded size, written by Spark,
-so they lie wherever Spark can write. Of pages with equal payloads of at least 1000 bytes the one with
+The writer makes one record per page, each a gzip member of its own (or plain), in WARC/1.1 files of
+bounded size, written by Spark, so they lie wherever Spark can write. Of pages with equal payloads of at least 1000 bytes the one with
 the largest page_id is the response, the others are revisit records without the payload; pages that
 repeat that largest id are responses too. Null html is an empty payload, a null url an empty one, and
 white space in a url is escaped so that it can't end a header line. A null page_id is written as such and
 reads back as null.
 
-The reader takes plain files and files of gzip members. A record counts when its header, its length, its
+The reader takes plain files and files of gzip members, with a zero byte as padding behind a member. A record counts when its header, its length, its
 end and its digests hold. After a failed check it searches for the next version line or gzip member that
 gives a valid record, goes on there, and logs the bytes between as a gap.
 """
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import re
 import zlib
@@ -23,16 +24,29 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clickloom.llm.common import rows
+from clickloom.llm.common import as_bytes, rows
 from clickloom.session import new_path, stage
 
 REVISIT_BYTES = 1000
 FILE_BYTES = 8 << 20
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "
+MEMBERS = pa.schema([("value", pa.binary())])
+CHUNK = 16 << 10
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
-def write(pages: DataFrame) -> str:
+def _pack(batches):
+    """Each record as a gzip member without its last byte where that is zero: the writer's line end supplies it.
+
+    That byte is the top one of the record's length, so only records of 16 MiB and more keep it; behind
+    those the line end is zero padding.
+    """
+    for rb in batches:
+        out = [gzip.compress(t, 6, mtime=0) for t in as_bytes(rb.column(0))]
+        yield rows(MEMBERS, [m[:-1] if m[-1] == 0 else m for m in out])
+
+
+def write(pages: DataFrame, members: bool = True) -> str:
     """Write the archives of `pages` (page_id, url, html) and return their folder."""
     spark = pages.sparkSession
     html = F.coalesce("html", F.lit(""))
@@ -67,8 +81,12 @@ def write(pages: DataFrame) -> str:
     )
     path = new_path(spark, "warc")
     per_file = max(1, FILE_BYTES * (size.r or 1) // max(1, (size.b or 0) + 600 * (size.r or 0)))
-    # the line feed that ends a record is the writer's own line end
-    found.withColumn("block", block).select(record.alias("value")).write.option("maxRecordsPerFile", per_file).option("lineSep", "\n").text(path)
+    # the last byte of a record or member is the writer's own line end
+    out, end = found.withColumn("block", block).select(record.alias("value")), "\n"
+    if members:
+        whole = out.select(F.concat("value", F.lit("\n")).cast("binary").alias("value"))
+        out, end = whole.mapInArrow(_pack, "value binary").select(F.col("value").cast("string").alias("value")), "\0"
+    out.write.option("maxRecordsPerFile", per_file).option("lineSep", end).text(path)
     return path
 
 
@@ -103,20 +121,24 @@ def _plain(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
 
 
 def _member(data: bytes, at: int) -> tuple[list[tuple[dict[str, str], bytes]], int]:
-    z = zlib.decompressobj(31)
+    # in small pieces, since zlib copies what lies behind the member
+    z, parts, end = zlib.decompressobj(31), [], at
     try:
-        text = z.decompress(memoryview(data)[at:])
+        while not z.eof and end < len(data):
+            parts.append(z.decompress(data[end : end + CHUNK]))
+            end += CHUNK
     except zlib.error as e:
         raise ValueError(f"gzip member: {e}") from e
     if not z.eof:
         raise ValueError("gzip member is cut off")
-    found, pos = [], 0
+    end = min(end, len(data)) - len(z.unused_data)
+    text, found, pos = b"".join(parts), [], 0
     while pos < len(text):
         head, block, pos = _plain(text, pos)
         found.append((head, block))
     if not found:
         raise ValueError("empty gzip member")
-    return found, len(data) - len(z.unused_data)
+    return found, end + (data[end : end + 1] == b"\0")
 
 
 START = re.compile(rb"\x1f\x8b\x08|WARC/1\.[01]\r\n")

@@ -49,6 +49,22 @@ def test_odd_pages(spark):
     assert warc.read(warc.archives(spark, warc.write(pages.limit(0)))).count() == 0
 
 
+def test_members_and_padding(spark):
+    """One gzip member a record, whole for standard tools; a record of over 16 MiB keeps its last byte."""
+    rows = [(1, "u", "ab" * 700), (2, "u", "x" * (17 << 20)), (3, "u", ""), (4, "u", "é" * 900)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    path = warc.write(pages.coalesce(1))
+    files = [r.content for r in warc.archives(spark, path).collect()]
+    assert sum(gzip.decompress(f).count(b"WARC/1.1\r\n") for f in files) == 4
+    assert {r.record_id: r.payload_bytes for r in warc.read(warc.archives(spark, path)).collect()} == {
+        f"<urn:page:{i}>": len(t.encode()) for i, _, t in rows
+    }
+    spans = [(x[0], x[1], x[2]) for f in files for x in warc.salvage(f)]
+    assert all(s[0] == "record" for s in spans) and sum(s[2] - s[1] for s in spans) == sum(map(len, files))
+    plain = warc.write(pages, members=False)
+    assert warc.read(warc.archives(spark, plain)).count() == 4
+
+
 @pytest.mark.parametrize("name", list(sql.SQL))
 def test_query_equals_sql(spark, name):
     assert compare(queries.Q[name](spark, SMALL), duck(SMALL), sql.SQL[name]) is None
