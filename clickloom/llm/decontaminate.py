@@ -1,10 +1,14 @@
 """Benchmark decontamination by greedy string tiling (running Karp-Rabin).
 
-Documents and benchmark items that share a seed of five words meet; then the longest matching runs that
-do not overlap are marked again and again, so passages are found in any order. A document is
-contaminated when tiles of three words or more cover 0.8 of an item's words. Words are lower-cased
-(A-Z) and split at white space and ASCII punctuation. The seed of an item of fewer than five words is
-the whole item; an item without words matches nothing. Null texts are empty.
+Documents and benchmark items that share a run of three words, the shortest tile, meet; then the longest
+matching runs that do not overlap are marked again and again, so passages are found in any order. A
+document is contaminated when tiles of three words or more cover 0.8 of an item's words. Words are
+lower-cased (A-Z) and split at white space and ASCII punctuation. An item of fewer than three words is
+found as a whole; an item without words matches nothing. Null texts are empty.
+
+The words of an item that lie in runs shared with the document bound its coverage from above. Items are
+tiled from the highest bound down, and only where the bound can still reach the threshold or the best
+coverage so far, which changes no result.
 
 The benchmark is the stated query set: it is sent to the tasks in blocks of bounded size and every block
 meets all documents.
@@ -21,7 +25,6 @@ from pyspark.sql import functions as F
 
 from clickloom.llm.common import as_bytes
 
-SEED_WORDS = 5
 TILE_WORDS = 3
 COVERAGE = 0.8
 BLOCK_BYTES = 8 << 20  # of benchmark text that a task holds at once
@@ -103,47 +106,64 @@ def _matches(item, doc, free_i, free_d, size):
 
 
 class Items:
-    """One block of benchmark items: their words and a table of their seeds."""
+    """One block of benchmark items: their words and a table of their runs of TILE_WORDS words."""
 
     def __init__(self, block: list[tuple[int, bytes]]):
         self.ids = [i for i, _ in block]
         self.words = [words(t) for _, t in block]
+        self.size = np.array([len(w) for w in self.words], np.int64)
+        self.item_of = np.repeat(np.arange(len(block)), self.size)
+        start = np.cumsum(self.size) - self.size
         self.tables = {}
-        for n in {min(SEED_WORDS, len(w)) for w in self.words if len(w)}:
-            own = [(grams(w, n), k) for k, w in enumerate(self.words) if min(SEED_WORDS, len(w)) == n]
+        for n in {min(TILE_WORDS, len(w)) for w in self.words if len(w)}:
+            own = [(grams(w, n), start[k]) for k, w in enumerate(self.words) if min(TILE_WORDS, len(w)) == n]
             seed = np.concatenate([g for g, _ in own])
-            item = np.concatenate([np.full(len(g), k) for g, k in own])
+            place = np.concatenate([at + np.arange(len(g)) for g, at in own])
             order = np.argsort(seed, kind="stable")
             maybe = np.zeros(1 << 20, bool)
             maybe[seed >> np.uint64(44)] = True
-            self.tables[n] = (seed[order], item[order], maybe)
+            self.tables[n] = (seed[order], place[order], maybe)
 
-    def candidates(self, doc: np.ndarray) -> list[int]:
-        found = set()
-        for n, (seed, item, maybe) in self.tables.items():
+    def candidates(self, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Items that share a run with the document, and the share of their words in such runs."""
+        under = [np.zeros(0, np.int64)]
+        for n, (seed, place, maybe) in self.tables.items():
             g = grams(doc, n)
             g = np.unique(g[maybe[g >> np.uint64(44)]])
             left, right = np.searchsorted(seed, g, "left"), np.searchsorted(seed, g, "right")
-            for a, b in zip(left[right > left].tolist(), right[right > left].tolist()):
-                found.update(item[a:b].tolist())
-        return sorted(found)
-
-    def covered(self, text: bytes) -> list[tuple[int, float]]:
-        """(item id, share of its words under tiles) of all items that share a seed."""
-        doc, out = words(text), []
-        for k in self.candidates(doc):
-            item = self.words[k]
-            # only words of runs that the item has can lie under a tile
-            near = np.isin(grams(doc, TILE_WORDS), grams(item, TILE_WORDS))
-            use = np.zeros(len(doc), bool)
-            for s in range(TILE_WORDS):
-                use[s : s + len(near)] |= near
-            if len(item) < TILE_WORDS:
-                out.append((self.ids[k], 1.0))  # its seed, the whole item, was found
+            count = right - left
+            at = place[np.repeat(left - np.cumsum(count) + count, count) + np.arange(count.sum())]
+            under += [at + k for k in range(n)]
+        found, n = np.unique(self.item_of[np.unique(np.concatenate(under))], return_counts=True)
+        return found, n / self.size[found]
+
+    def covered(self, text: bytes, least: float, above: float = np.inf) -> list[tuple[int, float]]:
+        """(item id, share of its words under tiles), in order of the items: all that reach `least` and,
+        if it is more than `above`, the first with the largest share."""
+        doc, out, top = words(text), {}, -1
+        found, bound = self.candidates(doc)
+        runs = grams(doc, TILE_WORDS)
+        for x in np.lexsort((found, -bound)):
+            k, most = int(found[x]), bound[x]
+            if most < least and (most < above or most == above and (top < 0 or k > top)):
+                if most < above:
+                    break
                 continue
-            gap = np.where(use, doc, np.uint64(0))
-            out.append((self.ids[k], sum(n for _, _, n in tiles(item, gap)) / len(item)))
-        return out
+            item = self.words[k]
+            share = 1.0  # of a short item the whole was found
+            if len(item) >= TILE_WORDS:
+                # only words of runs that the item has can lie under a tile; one gap stands for all others in a row
+                near = np.isin(runs, grams(item, TILE_WORDS))
+                use = np.zeros(len(doc), bool)
+                for s in range(TILE_WORDS):
+                    use[s : s + len(near)] |= near
+                gap = np.where(use, doc, np.uint64(0))[use | np.concatenate([[False], use[:-1]])]
+                share = sum(n for _, _, n in tiles(item, gap)) / len(item)
+            if share >= least or share > above or share == above and 0 <= k < top:
+                out[k] = share
+            if share > above or share == above and 0 <= k < top:
+                above, top = share, k
+        return [(self.ids[k], c) for k, c in sorted(out.items())]
 
 
 def blocks(benchmark: DataFrame, limit: int = BLOCK_BYTES):
@@ -170,7 +190,7 @@ def _score(items: Items, coverage: float, last: bool):
         for rb in batches:
             best, share, n = (rb.column(k).to_pylist() for k in (2, 3, 4))
             for k, text in enumerate(as_bytes(rb.column(1))):
-                for item, c in items.covered(text):
+                for item, c in items.covered(text, coverage, share[k]):
                     n[k] += c >= coverage
                     if c > share[k]:
                         best[k], share[k] = item, c
@@ -196,7 +216,7 @@ def score(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) ->
 def _clean(items: Items, coverage: float, at: int):
     def run(batches):
         for rb in batches:
-            keep = [all(c < coverage for _, c in items.covered(t)) for t in as_bytes(rb.column(at))]
+            keep = [not items.covered(t, coverage) for t in as_bytes(rb.column(at))]
             yield rb.filter(pa.array(keep, pa.bool_()))
 
     return run

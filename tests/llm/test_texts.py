@@ -154,6 +154,33 @@ def test_reordered_passages_are_found(spark, odd, none):
     assert decontaminate.score(none, bench).count() == 0 and decontaminate.score(odd, bench.limit(0)).count() == odd.count()
 
 
+def test_score_equals_brute_force_of_all_pairs(spark):
+    rng = np.random.default_rng(8)
+    vocabulary = [f"w{i}" for i in range(30)]
+    items = [[str(w) for w in rng.choice(vocabulary, n)] for n in (12, 20, 20, 33, 4, 3, 2, 1)] + [[f"u{i}" for i in range(40)]]
+    items.append(items[1])
+    docs = [[str(w) for w in rng.choice(vocabulary, 60)] for _ in range(20)]
+    for item in items:
+        for n in (3, 4):
+            parts = [item[i : i + n] for i in range(0, len(item), n)]
+            docs.append([w for k in rng.permutation(len(parts)) for w in ["gap", *parts[k]]])
+        docs.append(["other" if i % 5 == 4 else w for i, w in enumerate(item)])
+    # reordered, and every fifth word replaced: all tiles are shorter than five words
+    u = items[8]
+    docs += [[w for i in range(36, -1, -4) for w in u[i : i + 4]], ["other" if i % 5 == 4 else w for i, w in enumerate(u)]]
+    d = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(docs)], "doc_id long, text string")
+    b = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string").coalesce(1)
+    got = {r.doc_id: r for r in decontaminate.score(d, b).collect()}
+    clean = {r.doc_id for r in decontaminate.clean(d, b).collect()}
+    for i, doc in enumerate(docs):
+        share = [brute_tiles(w, doc, min(3, len(w))) / len(w) for w in items]
+        share = [int(c > 0) if len(w) < 3 else c for w, c in zip(items, share)]
+        assert got[i].coverage == max(share) and got[i].n_items == sum(c >= 0.8 for c in share)
+        assert got[i].item_id == (share.index(max(share)) if max(share) else None)
+        assert got[i].contaminated == (max(share) >= 0.8) == (i not in clean)
+    assert all(got[len(docs) - k].contaminated for k in (1, 2)) and got[len(docs) - 1].coverage == 0.8
+
+
 def test_surrogates(spark, odd, none):
     text = "Mail Anna.Lee@Site.org or anna.lee@site.org, call +1 (555) 123-4567 or +1 555 123 4567, from 10.200.3.44; card 4111 1111 1111 1111. Frau Anna Schmidt met Mr. Smith; token = \"0123456789abcdef0123\""
     docs = spark.createDataFrame([(1, text), (2, "again anna.lee@site.org"), (3, None), (3, None), (None, text)], "doc_id long, text string")
