@@ -8,12 +8,14 @@ white space in a url is escaped so that it can't end a header line. A null page_
 reads back as null.
 
 The reader takes plain files and files of gzip members, with a zero byte as padding behind a member. A record counts when its header, its length, its
-end and its digests hold. After a failed check it searches for the next version line or gzip member that
+end and its digests hold; SHA-1 digests are checked in hex or base32 of either case, others are not
+checked. Folded header lines are joined. After a failed check it searches for the next version line or gzip member that
 gives a valid record, goes on there, and logs the bytes between as a gap.
 """
 
 from __future__ import annotations
 
+import base64
 import gzip
 import hashlib
 import re
@@ -95,7 +97,7 @@ def _header(data: bytes, at: int) -> tuple[dict[str, str], int]:
     if not re.match(rb"WARC/1\.[01]\r\n", data[at : at + 10]) or end < 0:
         raise ValueError("no version line or no end of header")
     out = {}
-    for raw in data[at:end].split(b"\r\n")[1:]:
+    for raw in re.sub(rb"\r\n[ \t]+", b" ", data[at:end]).split(b"\r\n")[1:]:
         key, colon, value = raw.partition(b":")
         if not colon:
             raise ValueError("header line without a colon")
@@ -103,6 +105,25 @@ def _header(data: bytes, at: int) -> tuple[dict[str, str], int]:
     return out, end + 4
 
 
+def _sha1(digest: str) -> str | None:
+    """A labelled SHA-1 digest as hex; null for other algorithms and encodings, empty for a damaged one."""
+    name, _, value = digest.partition(":")
+    if name.strip().lower() not in ("sha1", "sha-1"):
+        return None
+    value = value.strip()
+    if re.fullmatch(r"[0-9A-Fa-f]{40}", value):
+        return value.lower()
+    if re.fullmatch(r"[A-Za-z2-7]{32}", value):
+        return base64.b32decode(value.upper()).hex()
+    # as long as hex or base32, or with bytes that no encoding has
+    return "" if len(value) in (32, 40) or not value.isascii() else None
+
+
+def _payload(block: bytes) -> bytes:
+    """What follows the HTTP header; a block without one (of a name lookup) as a whole."""
+    return block.partition(b"\r\n\r\n")[2] if block.startswith(b"HTTP/") else block
+
+
 def _plain(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
     head, begin = _header(data, at)
     if not re.fullmatch(r"\d{1,15}", head.get("content-length", "")):
@@ -111,11 +132,10 @@ def _plain(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
     if data[end : end + 4] != b"\r\n\r\n":
         raise ValueError("the record does not end where its length says")
     block = data[begin:end]
-    digest = head.get("warc-block-digest", "")
-    if digest.startswith("sha1:") and digest[5:] != hashlib.sha1(block).hexdigest():
+    if _sha1(head.get("warc-block-digest", "")) not in (None, hashlib.sha1(block).hexdigest()):
         raise ValueError("block digest differs")
-    if head.get("warc-type") == "response" and head.get("warc-payload-digest", "").startswith("sha1:"):
-        if head["warc-payload-digest"][5:] != hashlib.sha1(block.partition(b"\r\n\r\n")[2]).hexdigest():
+    if head.get("warc-type") == "response" and "warc-payload-digest" in head:
+        if _sha1(head["warc-payload-digest"]) not in (None, hashlib.sha1(_payload(block)).hexdigest()):
             raise ValueError("payload digest differs")
     return head, block, end + 4
 
@@ -185,12 +205,13 @@ def _row(path: str, x: tuple, payloads: bool) -> tuple:
     if x[0] == "gap":
         return path, "gap", x[1], x[2], x[3], None, None, None, None, None, None, None
     _, start, stop, head, block = x
-    http, _, payload = block.partition(b"\r\n\r\n")
     if head.get("warc-type") == "response":
+        payload = _payload(block)
         n, digest = len(payload), hashlib.sha1(payload).hexdigest()
     else:
-        m = re.search(rb"(?im)^content-length: *(\d{1,15})\r?$", http)
-        n, digest = int(m[1]) if m else None, head.get("warc-payload-digest", "").removeprefix("sha1:") or None
+        m = re.search(rb"(?im)^content-length: *(\d{1,15})\r?$", block.partition(b"\r\n\r\n")[0])
+        own = head.get("warc-payload-digest", "")
+        n, digest = int(m[1]) if m else None, _sha1(own) or own.removeprefix("sha1:") or None
         payload = None
     return (path, "record", start, stop, None, head.get("warc-record-id"), head.get("warc-type"), head.get("warc-target-uri"),
             n, digest, head.get("warc-refers-to"), payload if payloads else None)

@@ -36,6 +36,28 @@ def test_salvage(pack):
     assert list(warc.salvage(b"")) == [] and [x[0] for x in warc.salvage(b"junk")] == ["gap"]
 
 
+@pytest.mark.parametrize("form", ["hex", "HEX", "base32", "BASE32", "md5", "unknown"])
+def test_digest_forms_and_folded_lines(form):
+    import base64
+    import hashlib
+
+    def written(data: bytes) -> str:
+        raw = hashlib.sha1(data).digest()
+        return {"hex": "sha1:" + raw.hex(), "HEX": "SHA1:" + raw.hex().upper(), "base32": "sha1:" + base64.b32encode(raw).decode().lower(),
+                "BASE32": "sha1:" + base64.b32encode(raw).decode(), "md5": "md5:" + "0" * 32, "unknown": "sha1:?"}[form]
+
+    body = b"<p>text</p>" * 9
+    block = b"HTTP/1.1 200 OK\r\n\r\n" + body
+    one = (f"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:1>\r\nWARC-Target-URI:\r\n http://a/b\r\n\tc\r\n"
+           f"WARC-Payload-Digest: {written(body)}\r\nWARC-Block-Digest: {written(block)}\r\nContent-Length: {len(block)}\r\n\r\n").encode() + block + b"\r\n\r\n"
+    got = list(warc.salvage(one + one))
+    assert [x[0] for x in got] == ["record"] * 2 and got[0][3]["warc-target-uri"] == "http://a/b c"
+    if form not in ("md5", "unknown"):
+        assert [x[0] for x in warc.salvage(one.replace(b"text", b"tent"))] == ["gap"]
+    revisit = ("record", 0, 1, {"warc-type": "revisit", "warc-payload-digest": "sha1:" + base64.b32encode(b"x" * 20).decode()}, b"")
+    assert warc._row("", revisit, False)[9] == (b"x" * 20).hex()
+
+
 def test_odd_pages(spark):
     big = "é<p>\r\n\r\nWARC/1.1\r\n" * 200
     rows = [(1, "u", big), (2, None, big), (3, "a b\r\nX: y", None), (4, "u", ""), (None, "u", big), (5, "u", "x" * 999), (6, "u", "x" * 999), (6, "u", "x" * 999)]
