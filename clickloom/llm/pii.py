@@ -4,8 +4,8 @@ An entity is a type and a normal form (the digits of a phone or card number, the
 address, one part of a name). Its surrogate is drawn with a secret key from the same kind of values:
 same lengths and places of letters and digits, letters of the same script, a phone number keeps its
 country code, a card its first digit and whether its check digit holds, an address its valid octets, a
-given name its gender. The surrogate is then written in the form of each mention, so one entity reads
-alike wherever and however it is written (coreference).
+given name its gender. A name is found behind a title or by a common given name; its parts are then
+replaced wherever else the document has them as whole words, unless written small. The surrogate is then written in the form of each mention, so one entity reads alike wherever and however it is written (coreference).
 
 All distinct entities of the corpus are checked together: no two entities of a type may share a
 surrogate, and no surrogate may be an entity of the corpus; the larger of two in conflict draws again
@@ -21,6 +21,7 @@ import hashlib
 import hmac
 import re
 import unicodedata
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -54,12 +55,52 @@ CARD = re.compile(r"(?<![\w.])(?:\d{4}[ -]?){3}\d{4}(?!\w)|(?<![\w.])\d{13,19}(?
 SECRET = re.compile(r"(?i)\b(?:token|secret|password|passwd|api[_-]?key|key)\b\s*[=:]\s*[\"']?([A-Za-z0-9_+/=-]{16,})")
 TITLED = re.compile(r"\b(" + "|".join(TITLES) + r")\b\.?[ ]")
 NAMED = re.compile(r"\b(" + "|".join(GENDER) + r")\b")
-_PART = re.compile(r"[^\W\d_]+(?:[-'][^\W\d_]+)*")
+_MARKS = "".join(c for c in map(chr, range(0x300, 0x10000)) if unicodedata.category(c) in ("Mn", "Mc"))
+_LETTERS = rf"[^\W\d_](?:[^\W\d_]|[{_MARKS}])*"
+_RUN = re.compile(_LETTERS)
+_PART = re.compile(rf"{_LETTERS}(?:[-'](?!s(?!\w)){_LETTERS})*")
 _DIGIT = re.compile(r"[0-9]")
 
 
+# Letters that surrogates of a script are made of; other scripts take all of their own.
+ALPHABETS = {
+    "latin": "abcdefghijklmnopqrstuvwxyz", "cyrillic": "абвгдежзиклмнопрстуфхцчшэюя", "greek": "αβγδεζηθικλμνξοπρστυφχψω",
+    "armenian": "".join(map(chr, range(0x561, 0x587))), "georgian": "".join(map(chr, range(0x10D0, 0x10F1))),
+    "hebrew": "".join(map(chr, range(0x5D0, 0x5EB))), "arabic": "".join(map(chr, [*range(0x628, 0x63B), *range(0x641, 0x649), 0x64A])),
+    "cjk": "".join(map(chr, range(0x4E00, 0x9FA6))), "hangul": "".join(map(chr, range(0xAC00, 0xD7A4))),
+}
+
+
+def _named_script(c: str) -> str:
+    named = unicodedata.name(c, "").split() or [""]
+    return (named[1] if named[0] in ("FULLWIDTH", "HALFWIDTH") else named[0]).lower().removesuffix("-hiragana")
+
+
+@lru_cache(1)
+def _derived() -> dict[str, str]:
+    """Small or caseless letters of all scripts."""
+    out = {}
+    for c in map(chr, range(0x20000)):
+        if unicodedata.category(c) in ("Ll", "Lo") and len(c.upper()) == 1 and unicodedata.normalize("NFKC", c) == c:
+            out.setdefault(_named_script(c), []).append(c)
+    cased = {k: [c for c in v if unicodedata.category(c) == "Ll"] or v for k, v in out.items()}
+    return {k: "".join(v) for k, v in cased.items() if len(v) >= 10}
+
+
+@lru_cache(1 << 14)
 def script(word: str) -> str:
-    return "cyrillic" if unicodedata.name(word[0], "").startswith("CYRILLIC") else "latin"
+    """The script of the first letter; signs that have none count as Latin."""
+    own = _named_script(word[0])
+    return own if own in ALPHABETS or own in _derived() else "latin"
+
+
+def alphabet(writing: str) -> str:
+    return ALPHABETS.get(writing) or _derived()[writing]
+
+
+def _opens_name(c: str) -> bool:
+    """A capital, or a letter of a script that has none."""
+    return c.isupper() or c.istitle() or unicodedata.category(c) == "Lo" or script(c) == "georgian"
 
 
 def luhn(digits: str) -> bool:
@@ -80,7 +121,7 @@ def _names(text: str):
         pos, parts = (m.end(), []) if title else (m.start(), [])
         while len(parts) < 3:
             p = _PART.match(text, pos)
-            if not p or not p[0][0].isupper():
+            if not p or not _opens_name(p[0][0]):
                 break
             parts.append(p)
             if text[p.end() : p.end() + 1] != " ":
@@ -97,6 +138,23 @@ def _names(text: str):
         yield last.start(), last.end(), kind if ":" in kind else f"surname:{script(last[0])}:n", last[0].lower()
 
 
+def _mentioned(text: str, names: list[tuple[int, int, str, str]]):
+    """Further whole-word mentions of the parts of names; a part of several kinds is of its first one."""
+    kinds, count, low = {}, {}, text.lower()
+    for _, _, kind, norm in names:
+        kinds.setdefault(norm, kind)
+        count[norm] = count.get(norm, 0) + 1
+    if all(low.count(norm) <= n for norm, n in count.items()):
+        return
+    known = {a for a, *_ in names}
+    for whole in _PART.finditer(text):
+        for m in [whole] if whole[0].lower() in kinds else _RUN.finditer(text, whole.start(), whole.end()):
+            a, b = m.span()
+            around = text[a - 1 : a] + text[b : b + 1]
+            if m[0].lower() in kinds and a not in known and _opens_name(m[0][0]) and not re.search(r"\w", around):
+                yield a, b, kinds[m[0].lower()], m[0].lower()
+
+
 def detect(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, type, normal form), in order and without overlap."""
     found = []
@@ -112,7 +170,9 @@ def detect(text: str) -> list[tuple[int, int, str, str]]:
         for kind, pattern in (("card", CARD), ("phone", PHONE)):
             found += [(m.start(), m.end(), kind, "".join(c for c in m[0] if c.isdecimal())) for m in pattern.finditer(text)]
     if TITLED.search(text) or NAMED.search(text):
-        found += _names(text)
+        names = list(_names(text))
+        found += names
+        found += _mentioned(text, names)
     found.sort(key=lambda f: (f[0], -f[1]))
     out, at = [], 0
     for f in found:
@@ -144,7 +204,7 @@ def _like(c: str, draw: Draw) -> str:
     if c in "0123456789":
         return "0123456789"[draw.below(10)]
     if c.isalpha():
-        base = "абвгдежзиклмнопрстуфхцчшэюя" if script(c) == "cyrillic" else "abcdefghijklmnopqrstuvwxyz"
+        base = alphabet(script(c))
         new = base[draw.below(len(base))]
         return new.upper() if c.isupper() else new
     return c
@@ -174,7 +234,10 @@ def surrogate(key: bytes, kind: str, norm: str, attempt: int = 0) -> str:
     pool = GIVEN.get((writing, gender)) if part == "given" else None
     if pool and attempt == 0:
         return pool[draw.below(len(pool))].lower()
-    parts = SYLLABLES[writing]
+    parts = SYLLABLES.get(writing)
+    if not parts:
+        letters = alphabet(writing)
+        return "".join(letters[draw.below(len(letters))] for _ in range(len(norm) + attempt // 8))
     # the more attempts, the longer the name, so a free one is always found
     name = "".join(parts[draw.below(len(parts))] for _ in range(3 + attempt // 8))
     return name + (ENDING.get((writing, gender), "") if part == "given" else "")

@@ -198,6 +198,29 @@ def test_surrogates(spark, odd, none):
     assert pii.pseudonymise(odd, b"k").columns == [*odd.columns, "n_entities"] and pii.pseudonymise(none, b"k").count() == 0
 
 
+def test_later_mentions_take_the_same_surrogate(spark):
+    text = "Frau Anna Schmidt came. Schmidt's car; SCHMIDT (Schmidt) and Anna, not Schmidtke or Schmidt2. Mr. Smith's dog saw Mr. Smith, Schmidt-Werke."
+    docs = spark.createDataFrame([(1, text), (2, "Schmidt alone")], "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.pseudonymise(docs, b"k").collect()}
+    new = got[1].text
+    name, given = new.split()[2].rstrip("."), new.split()[1]
+    assert new.count(name) == 4 and name.upper() in new and new.count(given) == 2
+    assert f"{name}'s car; {name.upper()} ({name}) and {given}, not Schmidtke or Schmidt2." in new and f"{name}-Werke" in new
+    assert "Smith" not in new and len({w.rstrip(".,").removesuffix("'s") for a, w in zip(new.split(), new.split()[1:]) if a == "Mr."}) == 1
+    assert got[2].text == "Schmidt alone"
+
+
+def test_surrogates_keep_the_script():
+    names = {"greek": "Παπαδόπουλος", "armenian": "Սարգսյան", "arabic": "محمد", "hebrew": "כהן", "georgian": "ბერიძე", "cjk": "山田", "hangul": "김철수", "devanagari": "शर्मा", "thai": "สมชาย"}
+    for script, name in names.items():
+        found = pii.detect(f"Mr. {name}, he")
+        assert [(k, n) for _, _, k, n in found] == [(f"surname:{script}:n", name.lower())]
+        new = pii.surrogate(b"k", found[0][2], found[0][3])
+        assert new != name.lower() and {pii.script(c) for c in new} == {script}
+        local = pii.surrogate(b"k", "email", f"{name.lower()}@site.org").split("@")[0]
+        assert {pii.script(c) for c in local if c.isalpha()} == {script} and local != name.lower()
+
+
 def test_surrogates_stay_distinct(spark):
     rows = [(f"given:latin:f", f"name{i}") for i in range(200)] + [("address", f"1.1.1.{i}") for i in range(10)]
     got = pii.assign(spark.createDataFrame(rows, "kind string, norm string"), b"k").collect()
