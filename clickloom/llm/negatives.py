@@ -71,7 +71,7 @@ class Rows:
 def unpack(table: pa.Table) -> Rows:
     column = {n: table.column(n) for n in ("vec_id", "label", "row", "norm", "angles", "parts")}
     n = table.num_rows
-    wide = {c: np.frombuffer(b"".join(column[c].to_pylist()), k).reshape(n, -1) for c, k in (("angles", "<f4"), ("parts", "<i4"))}
+    wide = {c: np.frombuffer(b"".join(column[c].to_pylist()), k).reshape(n, -1 if n else 1) for c, k in (("angles", "<f4"), ("parts", "<i4"))}
     return Rows(
         column["vec_id"].fill_null(NO_ID).to_numpy(), column["label"].to_numpy(), column["row"].to_numpy(),
         column["norm"].to_numpy(), wide["angles"], wide["parts"].astype(np.int64),
