@@ -18,6 +18,7 @@ without the character that stands for the space (U+2581), which reads back as a
 from __future__ import annotations
 
 import functools
+import itertools
 
 import numpy as np
 import pyarrow as pa
@@ -294,7 +295,8 @@ class Pieces:
             line = np.frombuffer(b"".join(map(cache.__getitem__, units)), np.int32)
             out.append(self._space_runs(line) if self.merges and self.space_run else line)
         if len(cache) > CACHED_WORDS:
-            cache.clear()
+            for u in list(itertools.islice(cache, len(cache) // 2)):
+                del cache[u]
         return out
 
     def _with_nul(self, text: str) -> list[str]:
@@ -329,11 +331,15 @@ class Pieces:
             k = b
         return np.concatenate([*out, ids[k:]])
 
-    def decode(self, ids: np.ndarray) -> str:
+    def decode(self, ids: np.ndarray, edge: np.ndarray) -> list[str]:
+        """Texts of the ids between the offsets; one gather for all."""
         n = self.piece_size[ids]
-        at = np.repeat(self.piece_at[ids] - np.cumsum(n) + n, n) + np.arange(n.sum())
-        text = self.piece_bytes[at].tobytes().decode("utf-8", "replace")
-        return text[1:] if self.prefix and text[:1] == " " else text
+        end = np.append(0, np.cumsum(n))
+        kind = np.int32 if end[-1] < 1 << 31 else np.int64
+        at = np.repeat((self.piece_at[ids] - end[:-1]).astype(kind), n) + np.arange(end[-1], dtype=kind)
+        raw, cut = self.piece_bytes[at].tobytes(), end[edge].tolist()
+        texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(cut, cut[1:])]
+        return [t[1:] if t[:1] == " " else t for t in texts] if self.prefix else texts
 
 
 @functools.lru_cache(maxsize=2)
@@ -387,7 +393,11 @@ def _decode(path: str, at: int):
     def run(batches):
         model = load(path)
         for rb in batches:
-            texts = [None if i is None else model.decode(np.asarray(i, np.int64)) for i in rb.column(at).to_pylist()]
+            column = rb.column(at)
+            edge = np.append(0, np.cumsum(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)))
+            texts = model.decode(column.flatten().to_numpy(zero_copy_only=False), edge)
+            if column.null_count:
+                texts = [None if gone else t for gone, t in zip(column.is_null().to_pylist(), texts)]
             yield pa.RecordBatch.from_arrays([*rb.columns, pa.array(texts, pa.string())], names=[*rb.schema.names, "decoded"])
 
     return run
