@@ -41,7 +41,7 @@ GRAM = 32
 BACK = SPAN - GRAM
 KEY = SPAN + 1 + BACK + 1
 BATCH_BYTES = 2 << 20
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 1 << 18  # of text whose anchors are found at once
 LARGE_GROUP = 16384
 NO_ID = -(1 << 63)
 _M = np.uint64(0x9E3779B97F4A7C15)
@@ -66,7 +66,7 @@ def gram_hash(buf: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def _anchors(buf: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Anchor places of one piece of at most 4 MB; `ends` are the ends of its documents."""
+    """Anchor places of one piece of less than 8 MB; `ends` are the ends of its documents."""
     if len(buf) < SPAN:
         return np.zeros(0, np.int64)
     h, n = (buf.astype(np.uint64) + np.uint64(1)) * _M, 1
@@ -88,16 +88,13 @@ def _anchors(buf: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 
 def anchors(texts: list[bytes]) -> np.ndarray:
-    """Anchor places in the joined texts. A longer text is cut into pieces that share 99 bytes."""
-    sizes = np.array([len(t) for t in texts], np.int64)
-    if sizes.sum() <= PIECE_BYTES:
-        return _anchors(np.frombuffer(b"".join(texts), np.uint8), np.cumsum(sizes))
-    out, base = [], 0
-    for t in texts:
-        for a in range(0, max(1, len(t) - SPAN + 1), PIECE_BYTES - SPAN + 1):
-            buf = np.frombuffer(t[a : a + PIECE_BYTES], np.uint8)
-            out.append(_anchors(buf, np.array([len(buf)])) + base + a)
-        base += len(t)
+    """Anchor places in the joined texts, found piece by piece; neighbouring pieces share 99 bytes."""
+    buf, ends = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([len(t) for t in texts])
+    out = [np.zeros(0, np.int64)]
+    for a in range(0, max(1, len(buf) - SPAN + 1), PIECE_BYTES - SPAN + 1):
+        piece = buf[a : a + PIECE_BYTES]
+        inner = ends[np.searchsorted(ends, a, "right") : np.searchsorted(ends, a + len(piece))]
+        out.append(_anchors(piece, np.append(inner - a, len(piece))) + a)
     return np.unique(np.concatenate(out))
 
 
@@ -192,9 +189,9 @@ def front_decode(blob: bytes):
 
 def common(a: bytes, b: bytes, known: int) -> int:
     """Length of the common prefix, of which `known` bytes need no comparison."""
-    if a == b:
-        return len(a)
     low, high = known, min(len(a), len(b))
+    if a[low:high] == b[low:high]:
+        return high
     while low < high:
         mid = (low + high + 1) // 2
         if a[low:mid] == b[low:mid]:
