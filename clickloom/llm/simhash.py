@@ -188,27 +188,43 @@ def _groups(bits: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, words: int = 3, bits: int = 2) -> DataFrame:
-    """One row per document: doc_id, fp (signed 64 bits), component_id (smallest linked doc_id)."""
-    spark = docs.sparkSession
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    printed = stage(source.mapInArrow(_prints(words), "doc_id long, fp long"), "simhash")
-    # a fingerprint that only rows without id have stands as its own node, below all ids
+def _linked(printed: DataFrame, bits: int) -> DataFrame:
+    """(fp, part, component_id) of every fingerprint of the rows (doc_id, fp); `part` names the component.
+
+    Fingerprints themselves are the nodes, for rows that repeat a doc_id may hold different texts.
+    """
+    spark = printed.sparkSession
     own = stage(printed.groupBy("fp").agg(F.min("doc_id").alias("rep")), "own")
-    nodes = own.where("rep is not null")
-    keyed = nodes.mapInArrow(_probe(bits), "key long, fp long, rep long")
+    keyed = own.select("fp", F.col("fp").alias("rep")).mapInArrow(_probe(bits), "key long, fp long, rep long")
     n = tasks(spark, 40 * own.count(), 4_000_000)
     edges = keyed.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_groups(bits), "u long, v long")
     reached = components(edges)
-    classes = own.join(reached, own.rep == reached.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return printed.join(classes, "fp").select("doc_id", "fp", "component_id")
+    met = own.join(reached, own.fp == reached.node).select("fp", "rep", F.col("component").alias("part"))
+    smallest = met.groupBy("part").agg(F.min("rep").alias("component_id"))
+    alone = own.join(reached, own.fp == reached.node, "left_anti").select("fp", F.col("fp").alias("part"), F.col("rep").alias("component_id"))
+    return met.join(smallest, "part").select("fp", "part", "component_id").unionByName(alone)
+
+
+def near_duplicates(docs: DataFrame, words: int = 3, bits: int = 2) -> DataFrame:
+    """One row per document: doc_id, fp (signed 64 bits), component_id (smallest linked doc_id)."""
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    printed = stage(source.mapInArrow(_prints(words), "doc_id long, fp long"), "simhash")
+    return printed.join(_linked(printed, bits), "fp").select("doc_id", "fp", "component_id")
 
 
 def dedup(docs: DataFrame, words: int = 3, bits: int = 2) -> DataFrame:
-    """Rows of `docs` without the near copies: of each component the smallest doc_id stays.
+    """Rows of `docs` without the near copies: of each component one row stays, one with the smallest doc_id.
 
-    Rows without id stay, for nothing tells them apart.
+    Every row is judged by its own text, also where rows share a doc_id or have none; a row without id
+    stays only if its component has no row with an id.
     """
-    found = near_duplicates(docs, words, bits)
-    gone = found.where("component_id <> doc_id").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_id"], "left_anti")
+    names = docs.columns
+    own = stage(docs.select(F.struct(*[F.col(f"`{n}`") for n in names]).alias("r"), F.monotonically_increasing_id().alias("row")), "rows")
+    text = own.select("row", "r.text").mapInArrow(_prints(words), "row long, fp long")
+    printed = stage(text.join(own.select("row", F.col("r.doc_id").cast("long").alias("doc_id")), "row"), "prints")
+    placed = printed.join(_linked(printed.select("doc_id", "fp"), bits), "fp").select("part", "doc_id", "row")
+    # the first row of each component, by partial aggregation: no group is brought together
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
+    first = placed.groupBy("part").agg(F.min(order).alias("first")).select(F.col("first.row").alias("row"))
+    gone = stage(placed.select("row").join(first, "row", "left_anti"), "gone")
+    return own.join(gone, "row", "left_anti").select(*[F.col(f"r.`{n}`") for n in names])

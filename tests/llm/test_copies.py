@@ -162,3 +162,23 @@ def test_merge_carries_common_prefixes():
     assert [k for _, k, _ in got] == sorted(k for r in runs for k in r)
     for (_, a, _), (lcp, b, _) in zip(got, got[1:]):
         assert lcp == suffix_dedup.common(a, b, 0)
+
+
+def test_near_copies_are_judged_by_row(spark):
+    a = " ".join(f"alpha{i}" for i in range(40))
+    b = " ".join(f"beta{i}" for i in range(40))
+    c = " ".join(f"gamma{i}" for i in range(40))
+    rows = [(1, a), (5, a), (5, b), (5, b), (None, a), (None, c), (None, c), (7, None), (8, "")]
+    docs = spark.createDataFrame([(*r, "x", 1, 2) for r in rows], "doc_id long, text string, row string, part int, fp int")
+    kept = simhash.dedup(docs.repartition(3))
+    assert kept.columns == docs.columns
+    assert sorted((str(r.doc_id), r.text) for r in kept.collect()) == sorted([("1", a), ("5", b), ("None", c), ("7", None)], key=lambda r: r[0])
+    assert simhash.dedup(docs.limit(0)).count() == 0
+
+
+def test_anchors_do_not_depend_on_the_pieces(monkeypatch):
+    rng = np.random.default_rng(0)
+    texts = [bytes(rng.integers(97, 100, n, dtype=np.uint8)) for n in (0, 50, 99, 100, 5000, 3, 20_000, 250)]
+    whole = suffix_dedup.anchors(texts)
+    monkeypatch.setattr(suffix_dedup, "PIECE_BYTES", 700)
+    assert np.array_equal(suffix_dedup.anchors(texts), whole)
