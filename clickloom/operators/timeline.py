@@ -1,17 +1,43 @@
 """Per-key timelines that do not put a whole key into one task.
 
-Windows over (key, time bucket) do the row work. Each bucket is then reduced to one summary row,
-a window over the summaries of a key carries the state from bucket to bucket, and an equi-join on
-(key, bucket) brings the carried state back to the rows. A key that holds a third of all events is
-spread over as many tasks as it has busy buckets.
+Windows over (key, time bucket, piece) do the row work. Each piece is then reduced to one summary row,
+a window over the summaries of a key carries the state from piece to piece, and an equi-join brings the
+carried state back to the rows. Buckets with more than `HEAVY_ROWS` rows are found by a count and cut
+at equal-count splitters of their own order, so a key that holds a third of all events, be it inside
+one hour or without any time, is spread over as many tasks as its rows ask for.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from clickloom.session import cut
+
 BUCKET_SECONDS = 6 * 3600
+HEAVY_ROWS = 200_000
+BROADCAST_ROWS = 100_000  # heavy buckets up to this number are sent to all tasks
+
+
+def spread(rows: DataFrame, key: str, order: list[str], heavy_rows: int | None = None) -> DataFrame:
+    """Add `_p`, the piece of each row's bucket (`key`, `_b`): 0 in a light bucket, and growing in `order` in a heavy one."""
+    heavy_rows = heavy_rows or HEAVY_ROWS
+    counts = rows.groupBy(F.col(key).alias("_hk"), F.col("_b").alias("_hb")).agg(F.count(F.lit(1)).alias("_hn"))
+    heavy = cut(counts.where(F.col("_hn") > heavy_rows))
+    found = heavy.agg(F.count(F.lit(1)).alias("buckets"), F.sum("_hn").alias("rows")).first()
+    if not found.buckets:
+        return rows.withColumn("_p", F.lit(0))
+    heavy = heavy.drop("_hn")
+    if found.buckets <= BROADCAST_ROWS:
+        heavy = F.broadcast(heavy)
+    same = rows[key].eqNullSafe(heavy["_hk"]) & rows["_b"].eqNullSafe(heavy["_hb"])
+    light = rows.join(heavy, same, "left_anti").withColumn("_p", F.lit(0))
+    # the last column parts rows that are equal in all others
+    many = rows.join(heavy, same, "left_semi").withColumn("_u", F.monotonically_increasing_id())
+    dealt = many.repartitionByRange(math.ceil(found.rows / heavy_rows), key, "_b", *order, "_u")
+    return light.unionByName(cut(dealt.withColumn("_p", F.spark_partition_id()).drop("_u")))
 
 
 def session_runs(
@@ -24,6 +50,7 @@ def session_runs(
     flag: Column | None = None,
     previous: tuple[str, ...] = (),
     bucket_seconds: int = BUCKET_SECONDS,
+    heavy_rows: int | None = None,
 ) -> DataFrame:
     """Inactivity sessions with a running view of each.
 
@@ -34,7 +61,8 @@ def session_runs(
     """
     hit = F.coalesce(flag, F.lit(False)) if flag is not None else F.lit(False)
     base = events.withColumn("_b", F.floor(F.col(ts) / bucket_seconds)).withColumn("_hit", hit)
-    part = [key, "_b"]
+    base = spread(base, key, [ts, tie], heavy_rows)
+    part = [key, "_b", "_p"]
     order = Window.partitionBy(*part).orderBy(ts, tie)
     upto = order.rowsBetween(Window.unboundedPreceding, 0)
     local = (
@@ -62,7 +90,7 @@ def session_runs(
         F.max("_hit_rn").alias("_b_hit_rn"),
         *([last_of.alias("_b_last")] if previous else []),
     )
-    line = Window.partitionBy(key).orderBy("_b")
+    line = Window.partitionBy(key).orderBy("_b", "_p")
     before = line.rowsBetween(Window.unboundedPreceding, -1)
     carried = (
         summary.withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0)))
@@ -103,7 +131,7 @@ def session_runs(
     hit_pos = F.greatest(F.col("_base") + F.col("_hit_rn"), F.col("_in_hit_pos"))
     # null-safe: events without key or time form a timeline of their own instead of going missing
     carried = carried.withColumnsRenamed({c: f"_c{c}" for c in part})
-    same = local[key].eqNullSafe(carried[f"_c{key}"]) & local["_b"].eqNullSafe(carried["_c_b"])
+    same = local[key].eqNullSafe(carried[f"_c{key}"]) & local["_b"].eqNullSafe(carried["_c_b"]) & (local["_p"] == carried["_c_p"])
     return local.join(carried, same).select(
         *events.columns,
         pos.alias("pos"),
@@ -130,12 +158,13 @@ def latest_before(
     right_ts: str,
     right_order: str,
     bucket_seconds: int = BUCKET_SECONDS,
+    heavy_rows: int | None = None,
 ) -> DataFrame:
     """As-of join: for every left row the last row of each right table of the key at or before its time.
 
     Left rows keep their columns and get one struct column per right table (NULL when there is
     none). All sides share one timeline and one pass, so there is no range join and no pair is
-    ever built. The right tables are read twice: give them as stage tables.
+    ever built. All tables are read more than once: give them as stage tables.
     """
 
     def bucketed(df: DataFrame, ts: str) -> DataFrame:
@@ -148,28 +177,30 @@ def latest_before(
         )
         seen = rows if seen is None else seen.unionByName(rows, allowMissingColumns=True)
     asked = bucketed(left, left_ts).select(key, "_b", "_t", F.struct(*left.columns).alias("_left"))
+    both = seen.unionByName(asked, allowMissingColumns=True).withColumn("_kind", F.col("_left").isNotNull())
+    both = spread(both, key, ["_t", "_kind", "_o"], heavy_rows)
+    part = [key, "_b", "_p"]
 
-    # The last right row of each busy bucket, carried to the later buckets of the key.
+    # The last right row of each busy piece, carried to the later pieces of the key.
     at = F.struct("_t", "_o")
-    ends = seen.groupBy(key, "_b").agg(*[F.max_by(n, F.when(F.col(n).isNotNull(), at)).alias(n) for n in rights])
-    buckets = ends.unionByName(asked.select(key, "_b").distinct(), allowMissingColumns=True)
-    before = Window.partitionBy(key).orderBy("_b", F.col("_q")).rowsBetween(Window.unboundedPreceding, -1)
-    # A bucket with both kinds of rows has two entries; the question (_q = 0) comes first.
+    ends = both.filter(~F.col("_kind")).groupBy(*part).agg(*[F.max_by(n, F.when(F.col(n).isNotNull(), at)).alias(n) for n in rights])
+    buckets = ends.unionByName(both.filter("_kind").select(*part).distinct(), allowMissingColumns=True)
+    before = Window.partitionBy(key).orderBy("_b", "_p", "_q").rowsBetween(Window.unboundedPreceding, -1)
+    # A piece with both kinds of rows has two entries; the question (_q = 0) comes first.
     is_question = F.lit(True)
     for n in rights:
         is_question = is_question & F.col(n).isNull()
     carried = (
         buckets.withColumn("_q", F.when(is_question, 0).otherwise(1))
-        .select(key, "_b", "_q", *[F.last(n, ignorenulls=True).over(before).alias(f"_c_{n}") for n in rights])
+        .select(*part, "_q", *[F.last(n, ignorenulls=True).over(before).alias(f"_c_{n}") for n in rights])
         .filter(F.col("_q") == 0)
         .drop("_q")
     )
 
-    both = seen.unionByName(asked, allowMissingColumns=True).withColumn("_kind", F.col("_left").isNotNull())
-    upto = Window.partitionBy(key, "_b").orderBy("_t", "_kind", "_o").rowsBetween(Window.unboundedPreceding, 0)
+    upto = Window.partitionBy(*part).orderBy("_t", "_kind", "_o").rowsBetween(Window.unboundedPreceding, 0)
     placed = both.select(
-        key, "_b", "_left", *[F.last(n, ignorenulls=True).over(upto).alias(n) for n in rights]
+        *part, "_left", *[F.last(n, ignorenulls=True).over(upto).alias(n) for n in rights]
     ).filter(F.col("_left").isNotNull())
-    return placed.join(carried, [key, "_b"], "left").select(
+    return placed.join(carried, part, "left").select(
         *[F.col(f"_left.{c}").alias(c) for c in left.columns], *[F.coalesce(n, f"_c_{n}").alias(n) for n in rights]
     )
