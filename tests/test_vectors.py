@@ -110,7 +110,7 @@ WEIGHTS = {f: 0.0 for f in R.FEATURES} | {"candidate_review_count": 1.0}
 
 def test_retrieval_ways(spark, serving):
     requests, t, x = serving
-    rows = REC.candidates(requests, t.factors, t.vectors, t.items, t.index, 8, n=10).collect()
+    rows = REC.candidates(requests, t.factors, t.vectors, t.items, t.index, 8, n=10, exact=True).collect()
     way = {}
     for r in rows:
         way.setdefault(r.request_id, set()).add(r.source)
@@ -124,7 +124,7 @@ def test_retrieval_ways(spark, serving):
 
 def test_recommendations_leave_the_history_out(spark, serving):
     requests, t, _ = serving
-    top = REC.recommend(requests, t, R.linear_scorer(WEIGHTS), n=30)
+    top = REC.recommend(requests, t, R.linear_scorer(WEIGHTS), n=30, exact=True)
     rows = {r.request_id: r for r in REC.respond(requests, top).collect()}
     assert len(rows) == 6
     ids = [x["item_id"] for x in rows["r1"].recommendations]
@@ -137,7 +137,7 @@ def test_recommendations_leave_the_history_out(spark, serving):
 
 def test_feature_values(spark, serving):
     requests, t, _ = serving
-    rows = {(r.request_id, r.item_id): r for r in REC.features(requests, t, n=30).collect()}
+    rows = {(r.request_id, r.item_id): r for r in REC.features(requests, t, n=30, exact=True).collect()}
     r = rows[("r1", "i0003")]
     assert r.candidate_in_recent_views and r.n_recent_views == 1 and r.device_mobile
     assert r.time_of_day == pytest.approx(10 / 23) and r.candidate_price == 13.0
