@@ -38,6 +38,7 @@ def parse_columns(messages: DataFrame) -> DataFrame:
     """
     out = messages.withColumn("_e", parsed())
     good = F.col("_e.event_id").isNotNull() & F.col("_e.user_id").isNotNull() & F.col("_e.timestamp").isNotNull()
+    good = good & ~F.isnan("_e.timestamp")
     return out.select(
         F.coalesce(good, F.lit(False)).alias("ok"),
         "key",

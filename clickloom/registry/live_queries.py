@@ -11,11 +11,12 @@ from clickloom.operators import ranking as R
 from clickloom.operators import telemetry as TM
 from clickloom.plans import recommend as REC
 from clickloom.registry.batch_queries import DAY, r6
-from clickloom.registry.model_queries import WEIGHTS, serving_tables, session_requests
-from clickloom.session import new_path
+from clickloom.registry.model_queries import WEIGHTS, serving_tables
+from clickloom.session import cut, new_path
 from clickloom.sources import feeds
 from clickloom.sources import tables as T
 from clickloom.streaming import live as L
+from clickloom.streaming import requests as LR
 
 Q = {}
 
@@ -172,20 +173,54 @@ def stream_request_rate(spark, d):
     return spark.read.parquet(table)
 
 
+def slices(spark: SparkSession, rows: DataFrame, ts: str, name: str, heartbeat: dict) -> str:
+    """Rows as JSON messages in a landing folder, in three slices of ten days, oldest first, and a heartbeat after them."""
+    path = new_path(spark, name)
+    day = F.greatest(F.lit(0), F.coalesce(F.floor((F.col(ts) - 1704067200.0) / 864000), F.lit(0)))
+    for i in range(3):
+        feeds.publish(LR.encode(rows.filter(F.least(F.lit(2), day) == i)), "parquet", path=path)
+    last = rows.agg(F.max(ts)).first()[0] or 0.0
+    beat = spark.createDataFrame([heartbeat | {"user_id": "~heartbeat", ts: last + 11 * 86400.0}], rows.select("user_id", ts, *heartbeat).schema)
+    feeds.publish(LR.encode(beat), "parquet", path=path)
+    return path
+
+
+def live_answers(spark: SparkSession, d: str, requests: DataFrame, feedback: bool) -> DataFrame:
+    """Answers to the requests as a stream over event, feedback and request messages, up to ten days late."""
+    fields = ["event_id", "user_id", "item_id", "event_type", "session_id", "timestamp", "metadata"]
+    path = slices(spark, T.events(spark, d).select(*fields), "timestamp", "live-events", {"event_id": "~"})
+    events = [event_stream(spark, path)]
+    if feedback:
+        path = slices(spark, T.raw_feedback(spark, d), "received_ts", "live-feedback", {"event_type": "~"})
+        events.append(LR.parse_feedback(feeds.folder_stream(spark, path, 1)))
+    path = slices(spark, requests, "request_ts", "live-requests", {"request_id": "~"})
+    asked = LR.parse_requests(feeds.folder_stream(spark, path, 1))
+    return LR.answers(events, asked, DAY, delay="10 days", cart_event=T.CART_EVENT).where("user_id <> '~heartbeat'")
+
+
+@query
+def stream_feedback_state(spark, d):
+    """Session features of every request, read from live state over click events and feedback."""
+    requests = T.requests(spark, d)
+    table, checkpoint = L.scratch(spark, "stream-feedback")
+    L.to_table(live_answers(spark, d, requests, feedback=True), table, checkpoint, drain=True)
+    return spark.read.parquet(table).select(
+        "request_id", "user_id", "n_recommendations", "session_length", r6("session_age_seconds").alias("session_age_seconds"),
+        r6("last_seen_timestamp").alias("last_seen_timestamp"), "has_cart_item", F.array_join("recent_views", ",").alias("recent_views"),
+    )
+
+
 @query
 def stream_recommend(spark, d):
-    """Requests as a stream against the static tables; every micro-batch is one batch recommendation."""
-    requests = session_requests(spark, d)
-    path = new_path(spark, "landing-requests")
-    requests.write.parquet(path)
+    """Requests out of a topic, joined with live state and answered in several micro-batches."""
     static = serving_tables(spark, d)
     table, checkpoint = L.scratch(spark, "stream-recommend")
 
     def answer(batch: DataFrame, batch_id: int) -> DataFrame:
-        return REC.respond(batch, REC.recommend(batch, static, R.linear_scorer(WEIGHTS), exact=True))
+        asked = cut(batch)  # the state is advanced once
+        return REC.respond(asked, REC.recommend(asked, static, R.linear_scorer(WEIGHTS), exact=True))
 
-    stream = spark.readStream.schema(requests.schema).parquet(path)
-    L.to_batches(stream, table, checkpoint, drain=True, mode="append", shape=answer)
+    L.to_batches(live_answers(spark, d, T.requests(spark, d), feedback=False), table, checkpoint, drain=True, mode="append", shape=answer)
     out = spark.read.parquet(table)
     return out.select(
         "request_id", "user_id", "status", F.size("recommendations").alias("n"),

@@ -102,3 +102,12 @@ SQL["stream_request_rate"] = f"""WITH {LOG}, {sliding(3600, 900)}
 SELECT window_end_us, status, device, count(*) AS n FROM slid WHERE window_end_us <= (SELECT max(us) FROM log) - 60000000 GROUP BY 1, 2, 3"""
 
 SQL["stream_recommend"] = model_sql.SQL["recommend_response"]
+
+SQL["stream_feedback_state"] = f"""WITH {batch_sql.EV.replace("ev AS (", "clicks AS (", 1)},
+ev AS (SELECT * FROM clicks UNION ALL
+  SELECT 'fb-' || CAST(CAST(floor("timestamp") AS BIGINT) AS VARCHAR), user_id, item_id, event_type, session_id, "timestamp", device, page, referrer
+  FROM clicks WHERE event_type = 'purchase'),
+{model_sql.REQ}, {batch_sql.asof("req")}
+SELECT st.request_id, st.user_id, n_recommendations, session_length, round(session_age_seconds, 6) AS session_age_seconds,
+ round(last_seen_timestamp, 6) AS last_seen_timestamp, has_cart_item, array_to_string(views, ',') AS recent_views
+FROM st JOIN req ON req.request_id = st.request_id"""

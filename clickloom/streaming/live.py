@@ -150,7 +150,10 @@ def compact(events: DataFrame, ttl: float = TTL_SECONDS, cap: int = MAX_RECENT_V
                 rows.append((user, pd.Timestamp(int(ts[-1] * 1e6), unit="us"), pieces, chains, views))
             yield pd.DataFrame(rows, columns=["user_id", "event_time", "pieces", "chains", "views"])
 
-    needed = events.select("user_id", "event_id", "item_id", "event_type", "timestamp").filter("user_id IS NOT NULL")
+    # events without user or time have no place in keyed state: `parse` gives them to the dead letters
+    needed = events.select("user_id", "event_id", "item_id", "event_type", "timestamp").filter(
+        "user_id IS NOT NULL AND timestamp IS NOT NULL AND NOT isnan(timestamp)"
+    )
     return needed.mapInPandas(reduce, SUMMARY)
 
 
