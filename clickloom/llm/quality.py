@@ -4,9 +4,11 @@ A document is a bag of passages of 128 words. Every passage is encoded from its
 bytes, word shapes, repetition), a gated attention learned from document labels weighs the passages,
 and the weighted representation gives the score. Labels, lang, source and doc_id are no inputs.
 
-The model is fitted on at most MAX_DOCS labelled documents (and TRAIN_PASSAGES passages of each, evenly
-spaced), drawn by a hash of the id; scoring reads all passages of all documents. Null and empty texts
-are one passage without words. A document with several labels counts as good when their mean is at
+The model is fitted on at most MAX_DOCS labelled documents with MAX_PASSAGES passages in all, drawn by a
+hash of the id; each gives all of its passages. Scoring reads all passages of all documents. Null and
+empty texts are one passage without words. Rows are scored one by one, so repeated rows and ties need no
+rule (a repeated labelled document is learned from as often as it occurs); an empty table has no
+scores, and further columns are not read. A document with several labels counts as good when their mean is at
 least one half; null labels are left out. Without labels of both kinds all documents score the share
 of good ones (1 when there are none).
 """
@@ -22,7 +24,7 @@ from clickloom.llm.common import rows, text_batches
 from clickloom.session import stage
 
 MAX_DOCS = 6000
-TRAIN_PASSAGES = 64
+MAX_PASSAGES = 120_000
 PASSAGE_WORDS = 128
 THRESHOLD = 0.3
 FOLDS = 5
@@ -148,27 +150,27 @@ BAG = pa.schema([("label", pa.float64()), ("n", pa.int32()), ("bag", pa.binary()
 def _bags(batches):
     for labels, texts in text_batches(batches, 1 << 20):
         x, count = passages(texts)
-        ends, out = np.cumsum(count), []
-        for e, n in zip(ends, count):
-            pick = np.unique(np.linspace(0, n - 1, min(n, TRAIN_PASSAGES)).astype(int))
-            out.append(x[e - n : e][pick].astype(np.float32))
-        yield rows(BAG, labels, [len(o) for o in out], [o.tobytes() for o in out])
+        out = np.split(x.astype(np.float32), np.cumsum(count)[:-1])
+        yield rows(BAG, labels, count, [o.tobytes() for o in out])
 
 
 def held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string")) % FOLDS == 0, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS) -> Attention:
+def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, max_passages: int = MAX_PASSAGES) -> Attention:
     """Fit on a bounded, hash-drawn sample of the labelled documents outside the held-out fold."""
     known = labels.where("quality is not null and doc_id is not null").where(~held_out(F.col("doc_id")))
     known = known.groupBy(F.col("doc_id").cast("long").alias("_id")).agg((F.avg("quality") >= 0.5).cast("double").alias("label"))
     drawn = known.orderBy(F.xxhash64("_id"), "_id").limit(max_docs)
     sample = stage(drawn, "labelled")
     # at most max_docs rows of 16 bytes
-    texts = docs.join(F.broadcast(sample), docs["doc_id"] == sample["_id"]).select("label", "text")
-    found = stage(texts.mapInArrow(_bags, "label double, n int, bag binary"), "bags")
-    got = found.orderBy(F.xxhash64("bag"), "label").limit(max_docs).toPandas()
+    own = docs.select(F.col("doc_id").cast("long").alias("doc"), "text")
+    texts = own.join(F.broadcast(sample), F.col("doc") == F.col("_id")).select("label", "text")
+    found = stage(texts.mapInArrow(_bags, "label double, n int, bag binary"), "bags").where(F.col("n") <= max_passages)
+    order = [F.xxhash64("bag"), "label"]
+    sizes = found.orderBy(*order).select("n").limit(max_docs).toPandas()["n"]  # at most max_docs numbers
+    got = found.orderBy(*order).limit(int((sizes.cumsum() <= max_passages).sum())).toPandas()
     bags = [np.frombuffer(b, np.float32).reshape(n, FEATURES).astype(float) for b, n in zip(got["bag"], got["n"])]
     return Attention().fit(bags, got["label"].to_numpy(float))
 

@@ -227,3 +227,19 @@ def test_surrogates_stay_distinct(spark):
     real = {(k.split(":")[0], n) for k, n in rows}
     new = [(r.kind.split(":")[0], r.new) for r in got]
     assert len(got) == len(rows) and len(set(new)) == len(new) and not set(new) & real
+
+
+def test_training_reads_all_passages_within_the_bound(spark):
+    rows = [(i, " ".join(f"word{j}" for j in range(128 * n)), "L", 1.0) for i, n in enumerate([1, 70, 200, 3] * 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, label string, n double")
+    labels = docs.selectExpr("doc_id", "doc_id % 2 as quality")
+    seen = []
+    fit, quality.Attention.fit = quality.Attention.fit, lambda self, bags, y, *a, **k: seen.append([len(b) for b in bags]) or self
+    try:
+        quality.train(docs, labels)
+        quality.train(docs, labels, max_passages=150)
+    finally:
+        quality.Attention.fit = fit
+    known = [n for (i, *_), n in zip(rows, [1, 70, 200, 3] * 5) if zlib.crc32(str(i).encode()) % 5]
+    assert sorted(seen[0]) == sorted(known) and max(known) == 200
+    assert sum(seen[1]) <= 150 and seen[1]
