@@ -27,6 +27,9 @@ SENT = pa.schema([
 SENT_DDL = "part long, owner int, blob binary, rid long, doc_id long, sha binary, pos int, twice boolean"
 
 
+SALTS = 32
+
+
 def normalised(text):
     """Column expression: A-Z lowered, null as empty."""
     return F.translate(F.coalesce(text, F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
@@ -96,17 +99,20 @@ def classes(docs: DataFrame) -> DataFrame:
         "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"),
         F.lower(F.hex("sha")).alias("text_sha256"),
     )
-    return suspects.join(verified, "sha").select(*out).unionByName(single)
+    # members of one text are spread over several tasks, its answer is sent to each of them
+    members = suspects.withColumn("salt", F.pmod("rid", F.lit(SALTS)).cast("int"))
+    answers = verified.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return members.join(answers, ["sha", "salt"]).select(*out).unionByName(single)
 
 
 def dedup(docs: DataFrame) -> DataFrame:
     """Rows of `docs` that stay, with all their columns."""
     found = stage(classes(docs).select("doc_id", "kept", "text_sha256"), "classes")
     per_key = found.groupBy("doc_id", "text_sha256").agg(F.max("kept").alias("stays"), F.count("*").alias("n"))
-    gone = per_key.where("not stays or n > 1").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"), "stays")
+    gone = per_key.where("not stays or n > 1").select(F.col("doc_id").alias("__own_id"), F.col("text_sha256").alias("__own_sha"), "stays")
     sha = F.sha2(normalised(F.col("text")), 256)
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (sha == F.col("_sha"))
+    same = F.col("doc_id").eqNullSafe(F.col("__own_id")) & (sha == F.col("__own_sha"))
     rest = docs.join(gone.drop("stays"), same, "left_anti")
     again = docs.join(gone.where("stays").drop("stays"), same, "left_semi")
-    again = again.withColumn("_sha", sha).dropDuplicates(["doc_id", "_sha"]).drop("_sha")
+    again = again.withColumn("__own_sha", sha).dropDuplicates(["doc_id", "__own_sha"]).drop("__own_sha")
     return rest.unionByName(again)
