@@ -31,9 +31,10 @@ SPACE = "▁"
 _B = 0x100000001B3
 _MUL = 0x9E3779B97F4A7C15
 _FULL = (1 << 64) - 1
-CACHED_WORDS = 300_000
+CACHED_WORDS = 150_000
 SLOTS = 1 << 20
-BATCH_BYTES = 6 << 20  # of text whose distinct words are encoded together
+ADVANCED = 1 << 18  # characters of equal-length words that advance together
+BATCH_BYTES = 3 << 20  # of text whose distinct words are encoded together
 
 
 def _hash(text: str) -> int:
@@ -210,8 +211,8 @@ class Pieces:
         size = np.array([len(u) for u in units])
         for n in np.unique(size).tolist():
             pick = np.flatnonzero(size == n)
-            for a in range(0, len(pick), max(1, (1 << 20) // n)):
-                some = pick[a : a + max(1, (1 << 20) // n)]
+            for a in range(0, len(pick), max(1, ADVANCED // n)):
+                some = pick[a : a + max(1, ADVANCED // n)]
                 self._advance([units[i] for i in some.tolist()], n, some, out)
         return out
 
@@ -357,7 +358,7 @@ def default_model() -> str:
 IDS = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
 
 
-def _encode(path: str, at: int):
+def _encode(path: str, at: int, decoded: bool):
     def ids(model, some: list[pa.RecordBatch]):
         found = model.encode([t or "" for rb in some for t in rb.column(at).to_pylist()])
         k = 0
@@ -367,7 +368,8 @@ def _encode(path: str, at: int):
             offsets = np.cumsum([0] + [len(x) for x in own]).astype(np.int32)
             flat = np.concatenate(own) if own else np.zeros(0, np.int32)
             column = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int32()))
-            yield pa.RecordBatch.from_arrays([*rb.columns, column], names=[*rb.schema.names, "ids"])
+            back = {"decoded": pa.array(model.decode(flat, offsets), pa.string())} if decoded else {}
+            yield pa.RecordBatch.from_arrays([*rb.columns, column, *back.values()], names=[*rb.schema.names, "ids", *back])
 
     def run(batches):
         model, some, size = load(path), [], 0
@@ -386,7 +388,14 @@ def encode(docs: DataFrame, path: str | None = None, name: str = "ids") -> DataF
     """`docs` with a further column of token ids; a column of that name is replaced."""
     docs = docs.drop(name)
     schema = docs.select("*", F.lit(None).cast("array<int>").alias(name)).schema
-    return docs.mapInArrow(_encode(path or default_model(), docs.columns.index("text")), schema)
+    return docs.mapInArrow(_encode(path or default_model(), docs.columns.index("text"), False), schema)
+
+
+def encode_decode(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """`decode(encode(docs))` in one pass: one worker and one copy of the tables per task, one transfer of the rows."""
+    docs = docs.drop("ids", "decoded")
+    schema = docs.select("*", F.lit(None).cast("array<int>").alias("ids"), F.lit(None).cast("string").alias("decoded")).schema
+    return docs.mapInArrow(_encode(path or default_model(), docs.columns.index("text"), True), schema)
 
 
 def _decode(path: str, at: int):

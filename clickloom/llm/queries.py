@@ -44,7 +44,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every text, and whether decoding them gives the text back."""
-    found = pieces.decode(pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    found = pieces.encode_decode(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select(
         "doc_id", F.size("ids").cast("long").alias("n_ids"), F.crc32(F.array_join("ids", " ")).alias("ids_crc32"),
         (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("same_text"), F.sha2("decoded", 256).alias("decoded_sha256"),

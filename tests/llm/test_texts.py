@@ -27,7 +27,9 @@ def test_pieces_equal_the_library(spark, odd, none):
     assert model.decode(np.concatenate(got), np.cumsum([0] + [len(g) for g in got])) == texts
     out = pieces.decode(pieces.encode(odd)).collect()
     assert len(out) == odd.count() and all(r.decoded == (r.text or "") for r in out)
-    assert pieces.encode(none).count() == 0
+    key = lambda r: (str(r.doc_id), str(r.text), r.ids, r.decoded)
+    assert sorted(map(key, pieces.encode_decode(odd).collect())) == sorted(map(key, out))
+    assert pieces.encode(none).count() == pieces.encode_decode(none).count() == 0
 
 
 def test_code_lengths_are_optimal_and_limited():
