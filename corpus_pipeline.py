@@ -40,7 +40,7 @@ def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with their SentencePiece ids, and the text that these decode to."""
     tuned(spark)
-    return pieces.decode(pieces.encode(docs))
+    return pieces.encode_decode(docs)
 
 
 STAGES = [
