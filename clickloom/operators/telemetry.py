@@ -74,13 +74,28 @@ def quantile_of(counts: Column, bounds: list[float], q: float) -> Column:
     return F.when(at > len(bounds), F.lit(float(bounds[-1]))).otherwise(inside)
 
 
+def _latency_panes(log: DataFrame, slide: str) -> DataFrame:
+    """Cumulative counts of every stage per step of the sliding windows, one column each."""
+    counts = []
+    for s in STAGES:
+        counts += [F.count_if(_seconds(s) <= b).alias(f"{s}_{i}") for i, b in enumerate(LATENCY_BOUNDS)]
+        counts.append(F.count(_seconds(s)).alias(f"{s}_{len(LATENCY_BOUNDS)}"))
+    return log.groupBy(F.window("ts", slide).alias("pane")).agg(*counts)
+
+
 def latency_quantiles(log: DataFrame, window: str = "2 minutes", slide: str = "15 seconds") -> DataFrame:
-    """p50, p95 and p99 per stage in sliding windows."""
-    counts = _by_stage(log, F.window("ts", window, slide).alias("w"))
-    return counts.select(
+    """p50, p95 and p99 per stage in sliding windows.
+
+    A row is counted once, in its pane; windows add up panes. Over a stream with a watermark on `ts` these are two
+    chained aggregations in append mode.
+    """
+    sums = [F.array(*[F.sum(f"{s}_{i}") for i in range(len(LATENCY_BOUNDS) + 1)]).alias(s) for s in STAGES]
+    wide = _latency_panes(log, slide).groupBy(F.window("pane", window, slide).alias("w")).agg(*sums)
+    each = F.explode(F.array(*[F.struct(F.lit(s).alias("stage"), F.col(s).alias("counts")) for s in STAGES]))
+    return wide.select("w", each.alias("h")).select(
         F.unix_micros("w.end").alias("window_end_us"),
-        "stage",
-        *[quantile_of(F.col("counts"), LATENCY_BOUNDS, q).alias(n) for n, q in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))],
+        "h.stage",
+        *[quantile_of(F.col("h.counts"), LATENCY_BOUNDS, q).alias(n) for n, q in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))],
     )
 
 
@@ -90,8 +105,7 @@ def request_counts(log: DataFrame) -> DataFrame:
 
 def _panes(log: DataFrame, slide: str, *by: str) -> DataFrame:
     """Counts per step of the sliding windows: a row is counted once and only the counts are repeated."""
-    pane = F.window("ts", slide)["start"].alias("pane")
-    return log.groupBy(pane, *by).agg(F.count(F.lit(1)).alias("n"))
+    return log.groupBy(F.window("ts", slide).alias("pane"), *by).agg(F.count(F.lit(1)).alias("n"))
 
 
 def request_rate(log: DataFrame, window: str = "1 minute", slide: str = "15 seconds") -> DataFrame:

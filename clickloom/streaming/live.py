@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import threading
+from collections import deque
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery, StreamingQueryListener
 
 from clickloom.operators import messages as M
+from clickloom.operators import telemetry as TM
 from clickloom.operators.sessions import CART_EVENT, MAX_RECENT_VIEWS, TTL_SECONDS
 from clickloom.session import new_path
 
@@ -316,6 +319,66 @@ def request_rate(log: DataFrame, window: str = "1 minute", slide: str = "15 seco
     return out.select(F.unix_micros("w.end").alias("window_end_us"), "status", "device", "n")
 
 
+def latency_quantiles(log: DataFrame, window: str = "2 minutes", slide: str = "15 seconds", delay: str = "1 minute") -> DataFrame:
+    """Quantiles per stage and sliding window from histograms, emitted when the window is complete."""
+    return TM.latency_quantiles(log.withWatermark("ts", delay), window, slide)
+
+
+def status_ratio(
+    log: DataFrame, status: str, levels: tuple[float, float], window: str = "5 minutes", slide: str = "15 seconds", delay: str = "1 minute"
+) -> DataFrame:
+    """Share of one status per sliding window, emitted when the window is complete."""
+    return TM.status_ratio(log.withWatermark("ts", delay), status, levels, window, slide)
+
+
+# ---------------------------------------------------------------- observed figures
+
+
+def observed(events: DataFrame, name: str = "events") -> DataFrame:
+    """Count figures of every micro-batch along the way: rows, users, first and last time.
+
+    They come with the batch's own job. Distinct users need a shuffle of their own (`batch_stats`); here they are a sketch.
+    """
+    return events.observe(
+        name,
+        F.count(F.lit(1)).alias("events"),
+        F.approx_count_distinct("user_id", 0.02).alias("users"),
+        F.min("timestamp").alias("first_seen"),
+        F.max("timestamp").alias("last_seen"),
+    )
+
+
+class BatchFigures(StreamingQueryListener):
+    """Keeps the observed figures of the newest `keep` batches of one observation, and the rate of each."""
+
+    def __init__(self, name: str = "events", keep: int = 10_000):
+        self._name = name
+        self._ended: dict[str, threading.Event] = {}
+        self.batches: deque[dict] = deque(maxlen=keep)
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        found = p.observedMetrics.get(self._name)
+        if found is not None and p.numInputRows:
+            seconds = p.durationMs.get("triggerExecution", 0) / 1000
+            figures = found.asDict() | {"batch_id": p.batchId, "seconds": seconds}
+            self.batches.append(figures | {"per_second": figures["events"] / seconds if seconds > 0 else 0.0})
+
+    def onQueryTerminated(self, event) -> None:
+        self._ended.setdefault(str(event.runId), threading.Event()).set()
+
+    def wait(self, query: StreamingQuery, seconds: float = 60.0) -> None:
+        """Wait until all figures of an ended query have arrived."""
+        if not self._ended.setdefault(str(query.runId), threading.Event()).wait(seconds):
+            raise TimeoutError("the figures of the stream did not arrive")
+
+
 def scratch(spark: SparkSession, name: str) -> tuple[str, str]:
     """(table path, checkpoint path) of a run."""
     base = new_path(spark, name)
