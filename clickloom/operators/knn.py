@@ -184,7 +184,10 @@ def _probe(queries: DataFrame, index: VectorIndex, n_probe: int, later: bool = F
     return queries.mapInPandas(route, "query_id string, vec array<double>, cluster_id int")
 
 
-def _score_blocks(probes: DataFrame, index: VectorIndex, k: int, query_group: int) -> DataFrame:
+def _score_blocks(
+    probes: DataFrame, index: VectorIndex, k: int, query_group: int = QUERY_GROUP, exclude: DataFrame | None = None
+) -> DataFrame:
+    """Best k per query and block. Pairs of `exclude` (query_id, item_id) don't count: a query carries those of its block."""
     spark = probes.sparkSession
     dim = _dim(index)
     cuts = spark.createDataFrame(list(index.blocks.items()), "cluster_id int, n_blocks int")  # bounded
@@ -202,6 +205,13 @@ def _score_blocks(probes: DataFrame, index: VectorIndex, k: int, query_group: in
         .withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("n_salts") - 1)))
     )
     keys = ["cluster_id", "block", "salt"]
+    carried = ["query_id", "vec"]
+    if exclude is not None:
+        at = index.rows.select("item_id", "cluster_id").join(cuts, "cluster_id")
+        at = at.select("item_id", "cluster_id", F.pmod(F.xxhash64("item_id"), F.col("n_blocks")).cast("int").alias("block"))
+        met = ["query_id", "cluster_id", "block"]
+        held = exclude.join(at, "item_id").groupBy(*met).agg(F.collect_set("item_id").alias("without"))  # at most a block
+        left, carried = left.join(held, met, "left"), [*carried, "without"]
 
     def score(q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(x):
@@ -213,6 +223,10 @@ def _score_blocks(probes: DataFrame, index: VectorIndex, k: int, query_group: in
         out = []
         for at in range(0, len(q), 512):
             s = np.round((1.0 + queries[at : at + 512] @ items.T) / 2.0, SCORE_DIGITS)
+            if "without" in q:
+                for r, own in enumerate(q["without"].iloc[at : at + 512]):
+                    if own is not None:
+                        s[r, np.searchsorted(ids, own)] = -np.inf
             if s.shape[1] > k:
                 bar = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k]
                 row, col = np.nonzero(s >= bar[:, None])
@@ -222,14 +236,14 @@ def _score_blocks(probes: DataFrame, index: VectorIndex, k: int, query_group: in
             best = np.lexsort((col, -val, row))
             row, col, val = row[best], col[best], val[best]
             place = np.arange(len(row)) - np.searchsorted(row, row)
-            keep = place < k
+            keep = (place < k) & (val > -np.inf)
             out.append(
                 pd.DataFrame({"query_id": names[at + row[keep]], "item_id": ids[col[keep]], "score": val[keep]})
             )
         return pd.concat(out)
 
     return (
-        left.select(*keys, "query_id", "vec")
+        left.select(*keys, *carried)
         .groupBy(*keys)
         .cogroup(right.select(*keys, "item_id", "vec").groupBy(*keys))
         .applyInPandas(score, "query_id string, item_id string, score double")

@@ -12,6 +12,7 @@ from clickloom.functions import scalars as S
 from clickloom.functions import vectors as V
 from clickloom.operators import catalogue as C
 from clickloom.operators import item_index as X
+from clickloom.operators import factor_search as FS
 from clickloom.operators import knn as K
 from clickloom.operators import ranking as R
 from clickloom.operators import sessions as E
@@ -416,7 +417,8 @@ def als_factors(spark, d):
 
 @query
 def als_recommend(spark, d):
-    return _factor_model(spark, d).recommend(10)
+    m = _factor_model(spark, d)
+    return FS.top(m.user_factors(), m.index(new_path(spark, "factor-index")), 10)
 
 
 @query
@@ -424,6 +426,28 @@ def als_recommend_unseen(spark, d):
     return _factor_model(spark, d).recommend_unseen(10, T.interactions(spark, d))
 
 
+@query
+def als_recommend_recall(spark, d):
+    """How many users the indexed lists cover, and whether they find 95 % of the exact ones, on all users."""
+    m = _factor_model(spark, d)
+    index = m.index(new_path(spark, "factor-index"))
+    as_hits = lambda df: df.withColumnRenamed("user_id", "query_id")
+    exact = FS.top(m.user_factors(), index, 10, n_probe=len(index.blocks))
+    found = K.recall(as_hits(FS.top(m.user_factors(), index, 10)), as_hits(exact))
+    return found.select(F.col("queries").alias("users"), (F.col("recall") >= 0.95).alias("recall_reached"))
+
+
+@query
+def als_unseen_check(spark, d):
+    """Per user the length of the unseen list, its first and last rank, and how many of its items the user has seen (none)."""
+    seen = T.interactions(spark, d)
+    recs = _factor_model(spark, d).recommend_unseen(10, seen)
+    own = seen.select("user_id", "item_id").distinct().withColumn("own", F.lit(1))
+    return recs.join(own, ["user_id", "item_id"], "left").groupBy("user_id").agg(
+        F.count_distinct("item_id").alias("n"), F.min("rank").alias("first_rank"), F.max("rank").alias("last_rank"), F.count("own").alias("seen")
+    )
+
+
 @query
 def als_roundtrip(spark, d):
     """Users whose recommendations survive a save and load unchanged."""

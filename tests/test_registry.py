@@ -7,6 +7,7 @@ SMALL = "/root/testdata/sf0.001"
 NAMES = [
     "kcore_two_pass", "items_build", "session_asof", "recent_views", "session_flow", "retrieve_knn", "recommend_batch",
     "training_features", "tfidf", "search_fuzzy", "auc", "latency_quantiles", "metrics_snapshot", "stream_session_state",
+    "stream_latency_quantiles", "stream_error_rate", "stream_observed_stats", "als_unseen_check", "als_recommend_recall",
 ]
 
 
