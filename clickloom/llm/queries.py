@@ -17,9 +17,9 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = warc.write(table(spark, sf_dir, "pages"))
-    found = warc.read(warc.archives(spark, path), payloads=False).where("kind = 'record'")
-    return found.select(
+    """One record per page, as read back from the archives; fails if a page does not come back."""
+    pages = table(spark, sf_dir, "pages")
+    return warc.read_back(pages, warc.write(pages)).select(
         warc.page_of("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
         warc.page_of("refers_to").alias("refers_to"),
     )

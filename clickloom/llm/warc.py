@@ -11,6 +11,12 @@ The reader takes plain files and files of gzip members, with a zero byte as padd
 end and its digests hold; SHA-1 digests are checked in hex or base32 of either case, others are not
 checked. Folded header lines are joined. After a failed check it searches for the next version line or gzip member that
 gives a valid record, goes on there, and logs the bytes between as a gap.
+
+The same search runs over the decompressed bytes of a gzip member, so a damaged record of a sound member loses
+only itself: its gap has the member's place in the file, and its reason names the decompressed bytes. A member that
+is cut off, or whose own checks fail, is logged as a gap as a whole. Its records are still recovered, with the
+member's start as start and stop, if it is cut off, or if their block digests hold and the damage shows in other
+bytes. Where every record looks sound but the member's checksum fails, a header may be what is damaged: then none is.
 """
 
 from __future__ import annotations
@@ -23,7 +29,7 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from clickloom.llm.common import as_bytes, rows
@@ -93,16 +99,24 @@ def write(pages: DataFrame, members: bool = True) -> str:
 
 
 def _header(data: bytes, at: int) -> tuple[dict[str, str], int]:
-    end = data.find(b"\r\n\r\n", at, at + (1 << 20))
-    if not re.match(rb"WARC/1\.[01]\r\n", data[at : at + 10]) or end < 0:
-        raise ValueError("no version line or no end of header")
-    out = {}
-    for raw in re.sub(rb"\r\n[ \t]+", b" ", data[at:end]).split(b"\r\n")[1:]:
-        key, colon, value = raw.partition(b":")
+    if not VERSION.match(data, at):
+        raise ValueError("no version line")
+    out, key, pos = {}, "", data.find(b"\r\n", at) + 2
+    while (end := data.find(b"\r\n", pos)) != pos:
+        if end < 0:
+            raise ValueError("no end of header")
+        line, pos = data[pos:end], end + 2
+        if line[:1] in (b" ", b"\t"):
+            if not key:
+                raise ValueError("header line without a colon")
+            out[key] = f"{out[key]} {line.decode('utf-8', 'replace').strip()}".strip()
+            continue
+        name, colon, value = line.partition(b":")
         if not colon:
             raise ValueError("header line without a colon")
-        out[key.decode("latin-1").strip().lower()] = value.decode("utf-8", "replace").strip()
-    return out, end + 4
+        key = name.decode("latin-1").strip().lower()
+        out[key] = value.decode("utf-8", "replace").strip()
+    return out, end + 2
 
 
 def _sha1(digest: str) -> str | None:
@@ -140,7 +154,25 @@ def _plain(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
     return head, block, end + 4
 
 
-def _member(data: bytes, at: int) -> tuple[list[tuple[dict[str, str], bytes]], int]:
+def _readable(data: bytes, at: int) -> tuple[bytes, bool]:
+    """What a damaged gzip member gives before its first error, and whether it is cut off instead."""
+    z, parts = zlib.decompressobj(31), []
+    for begin in range(at, len(data), CHUNK):
+        some, before = data[begin : begin + CHUNK], z.copy()
+        try:
+            parts.append(z.decompress(some))
+        except zlib.error:
+            try:
+                for k in range(len(some)):
+                    parts.append(before.decompress(some[k : k + 1]))
+            except zlib.error:
+                pass
+            return b"".join(parts), False
+    return b"".join(parts), True
+
+
+def _member(data: bytes, at: int) -> tuple[bytes, int]:
+    """The decompressed bytes of a sound member, and its end."""
     # in small pieces, since zlib copies what lies behind the member
     z, parts, end = zlib.decompressobj(31), [], at
     try:
@@ -152,29 +184,74 @@ def _member(data: bytes, at: int) -> tuple[list[tuple[dict[str, str], bytes]], i
     if not z.eof:
         raise ValueError("gzip member is cut off")
     end = min(end, len(data)) - len(z.unused_data)
-    text, found, pos = b"".join(parts), [], 0
-    while pos < len(text):
-        head, block, pos = _plain(text, pos)
-        found.append((head, block))
-    if not found:
-        raise ValueError("empty gzip member")
-    return found, end + (data[end : end + 1] == b"\0")
+    return b"".join(parts), end + (data[end : end + 1] == b"\0")
 
 
+VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 START = re.compile(rb"\x1f\x8b\x08|WARC/1\.[01]\r\n")
 
 
+def _lines(text: bytes) -> Iterator[tuple]:
+    """Records and gaps of uncompressed bytes, in order and without holes."""
+    at, bad, reason = 0, None, ""
+    while at < len(text):
+        try:
+            head, block, end = _plain(text, at)
+        except ValueError as e:
+            if bad is None:
+                bad, reason = at, str(e)
+            m = VERSION.search(text, at + 1)
+            at = m.start() if m else len(text)
+            continue
+        if bad is not None:
+            yield "gap", bad, at, reason
+            bad = None
+        yield "record", at, end, head, block
+        at = end
+    if bad is not None:
+        yield "gap", bad, len(text), reason
+
+
+def _unpacked(data: bytes, at: int) -> tuple[list[tuple], int]:
+    """Records and inner gaps of the sound gzip member at a place, and its end; an error if it has no record."""
+    text, end = _member(data, at)
+    found, first = [], "empty gzip member"
+    for x in _lines(text):
+        if x[0] == "record":
+            found.append(("record", at, end, *x[3:]))
+        else:
+            first = x[3] if not found else first
+            found.append(("gap", at, end, f"bytes {x[1]}-{x[2]} of the member: {x[3]}"))
+    if all(x[0] == "gap" for x in found):
+        raise ValueError(first)
+    return found, end
+
+
+def _rescued(data: bytes, at: int) -> list[tuple]:
+    """Records that can be trusted out of a damaged member."""
+    text, cut_off = _readable(data, at)
+    found = list(_lines(text))
+    sure = [x for x in found if x[0] == "record" and (cut_off or _sha1(x[3].get("warc-block-digest", "")))]
+    return [("record", at, at, *x[3:]) for x in sure] if cut_off or any(x[0] == "gap" for x in found) else []
+
+
 def salvage(data: bytes) -> Iterator[tuple]:
-    """('record', offset, end, header, block) and ('gap', offset, end, reason), in order and without holes."""
+    """('record', start, stop, header, block) and ('gap', start, stop, reason), in order; together they cover the file."""
     at, bad, reason = 0, None, ""
     while at < len(data):
+        packed = data[at : at + 3] == b"\x1f\x8b\x08"
         try:
-            if data[at : at + 3] == b"\x1f\x8b\x08":
-                found, end = _member(data, at)
+            if packed:
+                found, end = _unpacked(data, at)
             else:
                 head, block, end = _plain(data, at)
-                found = [(head, block)]
+                found = [("record", at, end, head, block)]
         except ValueError as e:
+            saved = _rescued(data, at) if packed else []
+            if saved and bad is not None:
+                yield "gap", bad, at, reason
+                bad = None
+            yield from saved
             if bad is None:
                 bad, reason = at, str(e)
             m = START.search(data, at + 1)
@@ -183,8 +260,7 @@ def salvage(data: bytes) -> Iterator[tuple]:
         if bad is not None:
             yield "gap", bad, at, reason
             bad = None
-        for head, block in found:
-            yield "record", at, end, head, block
+        yield from found
         at = end
     if bad is not None:
         yield "gap", bad, len(data), reason
@@ -239,6 +315,19 @@ def read(files: DataFrame, payloads: bool = True) -> DataFrame:
     return files.select("path", "content").mapInArrow(_read(payloads), READ_DDL)
 
 
+def read_back(pages: DataFrame, path: str) -> DataFrame:
+    """The records of the archives that `write` made of `pages`, without payloads; an error unless there is one for every page."""
+    spark, seen = pages.sparkSession, Observation()
+    found = read(archives(spark, path), payloads=False).observe(
+        seen, F.count_if(F.col("kind") == "record").alias("records"), F.count_if(F.col("kind") == "gap").alias("gaps")
+    )
+    out, wanted = stage(found, "records"), pages.count()
+    got = seen.get
+    if got["gaps"] or got["records"] != wanted:
+        raise RuntimeError(f"{wanted} pages were written, but {got['records']} records and {got['gaps']} gaps read")
+    return out
+
+
 def archives(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).where("length > 0")
 

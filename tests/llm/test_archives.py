@@ -36,6 +36,52 @@ def test_salvage(pack):
     assert list(warc.salvage(b"")) == [] and [x[0] for x in warc.salvage(b"junk")] == ["gap"]
 
 
+def ids(found) -> list[str]:
+    return [x[3]["warc-record-id"][10:-1] for x in found if x[0] == "record"]
+
+
+def test_salvage_inside_members():
+    """A damaged record of a member loses only itself; of a damaged member what lies before the damage is kept."""
+    import random
+
+    rng = random.Random(5)
+    parts = [record(i, bytes(rng.randrange(256) for _ in range(3000))) for i in range(4)]
+    whole = b"".join(parts)
+    hurt = bytearray(whole)
+    hurt[len(parts[0]) + 500] ^= 1
+    member, behind = gzip.compress(bytes(hurt)), gzip.compress(record(9, b"behind"))
+    got = list(warc.salvage(member + behind))
+    assert ids(got) == ["0", "2", "3", "9"]
+    gaps = [x for x in got if x[0] == "gap"]
+    assert [(x[1], x[2]) for x in gaps] == [(0, len(member))]
+    assert f"bytes {len(parts[0])}-{len(parts[0]) + len(parts[1])} of the member" in gaps[0][3]
+
+    member = gzip.compress(whole)
+    short = list(warc.salvage(member[: len(member) * 5 // 8]))
+    assert ids(short) == ["0", "1"] and [(x[1], x[2]) for x in short if x[0] == "gap"] == [(0, len(member) * 5 // 8)]
+    # the checksum fails, but no record shows damage: a header may be wrong
+    bad_sum = member[:-6] + bytes([member[-6] ^ 1]) + member[-5:]
+    assert ids(warc.salvage(bad_sum + behind)) == ["9"]
+    torn = bytearray(member)
+    torn[len(member) * 5 // 8] ^= 0xFF
+    assert set(ids(warc.salvage(bytes(torn) + behind))) >= {"0", "1", "9"}
+    # without digests a member's own checks must hold, unless it is only cut off
+    unchecked = gzip.compress(whole.replace(b"Block-Digest: sha1", b"Other-Digest: sha1"))
+    assert ids(warc.salvage(unchecked)) == ["0", "1", "2", "3"] and ids(warc.salvage(unchecked[:-20])) == ["0", "1", "2"]
+
+
+def test_long_headers(spark):
+    """A url of over a mebibyte comes back, and a page that does not is an error."""
+    rows = [(1, "http://a/" + "u" * (3 << 20), "x" * 2000), (2, "http://b/", "x" * 2000), (3, None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    path = warc.write(pages)
+    found = {r.record_id: r for r in warc.read_back(pages, path).collect()}
+    assert found["<urn:page:1>"].url == rows[0][1] and found["<urn:page:1>"].refers_to == "<urn:page:2>"
+    with pytest.raises(RuntimeError, match="3 records"):
+        warc.read_back(pages.unionByName(pages), path)
+    assert list(warc.salvage(b"WARC/1.1\r\n folded\r\n\r\n"))[0][0] == "gap"
+
+
 @pytest.mark.parametrize("form", ["hex", "HEX", "base32", "BASE32", "md5", "unknown"])
 def test_digest_forms_and_folded_lines(form):
     import base64
