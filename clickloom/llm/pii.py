@@ -9,10 +9,12 @@ replaced wherever else the document has them as whole words, unless written smal
 
 All distinct entities of the corpus are checked together: no two entities of a type may share a
 surrogate, and no surrogate may be an entity of the corpus; the larger of two in conflict draws again
-until none is left (distinctness). Nearly all entities keep their first draw, which every task can make
-by itself, so only the others are joined back to documents.
+until none is left (distinctness). A shape whose values run out is widened with every `WIDEN` attempts:
+one more digit or letter, or octets of any length, so a free value is always found. Nearly all entities
+keep their first draw, which every task can make by itself, so only the others are joined back to documents.
 
-Null texts stay null, other columns are kept, repeated rows give repeated rows.
+Null texts stay null, other columns are kept, repeated rows give repeated rows. Rows without id, or with
+one id, are told apart by their texts.
 """
 
 from __future__ import annotations
@@ -29,7 +31,13 @@ from pyspark.sql import functions as F
 
 from clickloom.session import stage
 
-ROUNDS = 64
+WIDEN = 4
+
+# Calling codes of one and two digits; all others have three.
+SHORT_CODES = set(
+    "1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 "
+    "81 82 84 86 90 91 92 93 94 95 98".split()
+)
 
 # Titles with the gender they tell.
 TITLES = {"Mr": "m", "Herr": "m", "Monsieur": "m", "Señor": "m", "Sr": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Frau": "f",
@@ -168,7 +176,7 @@ def detect(text: str) -> list[tuple[int, int, str, str]]:
             if all(int(o) < 256 for o in m[0].split(".")):
                 found.append((m.start(), m.end(), "address", m[0]))
         for kind, pattern in (("card", CARD), ("phone", PHONE)):
-            found += [(m.start(), m.end(), kind, "".join(c for c in m[0] if c.isdecimal())) for m in pattern.finditer(text)]
+            found += [(m.start(), m.end(), kind, "".join(c for c in m[0] if c.isdecimal() or c == "+")) for m in pattern.finditer(text)]
     if TITLED.search(text) or NAMED.search(text):
         names = list(_names(text))
         found += names
@@ -210,26 +218,36 @@ def _like(c: str, draw: Draw) -> str:
     return c
 
 
+def _kept(number: str) -> int:
+    """How many leading characters of a phone number stay: sign and country code, else what is before ten digits."""
+    if not number.startswith("+"):
+        return max(0, len(number) - 10) or 1
+    return 1 + next((n for n in (1, 2) if number[1 : 1 + n] in SHORT_CODES), 3)
+
+
 def surrogate(key: bytes, kind: str, norm: str, attempt: int = 0) -> str:
     """The normal form of the surrogate."""
     draw = Draw(key, kind, norm, attempt)
+    wider = attempt // WIDEN
+    digits = lambda n: "".join(str(draw.below(10)) for _ in range(n))
     if kind == "email":
         name, _, domain = norm.rpartition("@")
         host, _, top = domain.rpartition(".")
-        return "".join(_like(c, draw) for c in name) + "@" + "".join(_like(c, draw) for c in host) + "." + top
+        return "".join(_like(c, draw) for c in name + "a" * wider) + "@" + "".join(_like(c, draw) for c in host) + "." + top
     if kind == "address":
         lows = {1: (0, 10), 2: (10, 100), 3: (100, 256)}
-        return ".".join(str(a + draw.below(b - a)) for a, b in (lows[len(o)] for o in norm.split(".")))
+        return ".".join(str(a + draw.below(b - a)) for a, b in ((0, 256) if wider else lows[len(o)] for o in norm.split(".")))
     if kind == "card":
-        body = norm[0] + "".join(str(draw.below(10)) for _ in norm[1:-1])
+        body = norm[0] + digits(len(norm) - 2 + wider)
         check = next(str(d) for d in range(10) if luhn(body + str(d)))
         return body + (check if luhn(norm) else str((int(check) + 1 + draw.below(9)) % 10))
     if kind == "phone":
-        keep = max(0, len(norm) - 10) or 1
-        return norm[:keep] + "".join(str(draw.below(10)) for _ in norm[keep:])
+        keep = _kept(norm)
+        return norm[:keep] + digits(len(norm) - keep + wider)
     if kind == "secret":
         lower_hex = not norm.strip("0123456789abcdef")
-        return "".join("0123456789abcdef"[draw.below(16)] for _ in norm) if lower_hex else "".join(_like(c, draw) for c in norm)
+        shape = norm + "0" * wider
+        return "".join("0123456789abcdef"[draw.below(16)] if lower_hex else _like(c, draw) for c in shape)
     part, writing, gender = kind.split(":")
     pool = GIVEN.get((writing, gender)) if part == "given" else None
     if pool and attempt == 0:
@@ -244,27 +262,29 @@ def surrogate(key: bytes, kind: str, norm: str, attempt: int = 0) -> str:
 
 
 def write_like(mention: str, kind: str, norm: str, new: str) -> str:
-    """The surrogate in the form of the mention."""
+    """The surrogate in the form of the mention; what a widened one has more stands at its end."""
     if kind in ("card", "phone"):
-        digits = iter(new)
-        return "".join(next(digits) if c.isdecimal() else c for c in mention)
+        digits = iter(new.lstrip("+"))
+        return "".join(next(digits) if c.isdecimal() else c for c in mention) + "".join(digits)
     if kind in ("address", "secret"):
         return new
     if mention.isupper():
         return new.upper()
     if kind == "email":
-        return "".join(n.upper() if m.isupper() else n for m, n in zip(mention, new))
+        more = len(new) - len(mention)
+        form = mention.replace("@", " " * more + "@")
+        return "".join(n.upper() if m.isupper() else n for m, n in zip(form, new))
     return new[:1].upper() + new[1:] if mention[:1].isupper() else new
 
 
-FOUND = pa.schema([("doc_id", pa.int64()), ("kind", pa.string()), ("norm", pa.string())])
+FOUND = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("kind", pa.string()), ("norm", pa.string())])
 
 
 def _mentions(batches):
     for rb in batches:
         out = []
-        for d, t in zip(rb.column(0).to_pylist(), rb.column(1).to_pylist()):
-            out += {(d, kind, norm) for _, _, kind, norm in detect(t or "")}
+        for d, h, t in zip(*(rb.column(k).to_pylist() for k in range(3))):
+            out += {(d, h, kind, norm) for _, _, kind, norm in detect(t or "")}
         if out:
             yield pa.RecordBatch.from_pylist([dict(zip(FOUND.names, o)) for o in out], schema=FOUND)
 
@@ -280,11 +300,15 @@ def _draws(key: bytes):
 
 
 def assign(entities: DataFrame, key: bytes) -> DataFrame:
-    """(kind, norm) to (kind, norm, attempt, new) without a shared or a real value among the surrogates."""
+    """(kind, norm) to (kind, norm, attempt, new) without a shared or a real value among the surrogates.
+
+    Ends because the shapes widen: n entities of one shape need about WIDEN * log10(n) rounds at most, and one
+    or two in practice. Only IPv4 addresses cannot grow beyond their 2^32 values.
+    """
     family = F.substring_index("kind", ":", 1)
     real = entities.select(family.alias("family"), F.col("norm").alias("new"), F.lit(True).alias("real")).distinct()
     now = entities.withColumn("attempt", F.lit(0))
-    for _ in range(ROUNDS):
+    while True:
         drawn = stage(now.mapInArrow(_draws(key), "kind string, norm string, attempt int, new string"), "surrogates")
         first = drawn.groupBy(family.alias("family"), "new").agg(F.min(F.struct("attempt", "kind", "norm")).alias("first"), F.count("*").alias("k"))
         clash = first.join(real, ["family", "new"], "left").where("k > 1 or real").select("family", "new", "first", F.coalesce("real", F.lit(False)).alias("real"))
@@ -294,7 +318,6 @@ def assign(entities: DataFrame, key: bytes) -> DataFrame:
         again = F.coalesce(F.col("real") | (own != F.col("first")), F.lit(False))
         joined = drawn.withColumn("family", family).join(clash, ["family", "new"], "left")
         now = joined.select("kind", "norm", (F.col("attempt") + again.cast("int")).alias("attempt"))
-    raise RuntimeError("no free surrogates were found")
 
 
 def _replace(key: bytes, text: int, other: int):
@@ -320,17 +343,21 @@ def _replace(key: bytes, text: int, other: int):
 def pseudonymise(docs: DataFrame, key: bytes) -> DataFrame:
     """`docs` with surrogates in `text`, and a column n_entities (replacing one of that name)."""
     docs = docs.drop("n_entities")
-    mentions = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_mentions, "doc_id long, kind string, norm string")
-    mentions = stage(mentions, "mentions")
+    own_id, own_hash = F.col("doc_id").cast("long"), F.xxhash64("text")
+    mentions = docs.select(own_id.alias("doc_id"), own_hash.alias("text_hash"), "text")
+    mentions = stage(mentions.mapInArrow(_mentions, "doc_id long, text_hash long, kind string, norm string"), "mentions")
     drawn = assign(mentions.select("kind", "norm").distinct(), key)
     redrawn = drawn.where("attempt > 0").select("kind", "norm", "new")
-    # at most the redrawn entities of one document (of all rows without id together)
+    # at most the redrawn entities of one text; free names, since `docs` may have any columns
+    names = [n for n in ("_id", "_hash", "_redrawn", *(f"_{k}" for k in range(len(docs.columns) + 3))) if n not in docs.columns]
+    key_id, key_hash, others = names[:3]
     by_doc = stage(
-        mentions.join(redrawn, ["kind", "norm"]).groupBy(F.col("doc_id").alias("_id"))
-        .agg(F.collect_set(F.struct("kind", "norm", "new")).alias("_redrawn")), "redrawn",
+        mentions.join(redrawn, ["kind", "norm"]).groupBy(F.col("doc_id").alias(key_id), F.col("text_hash").alias(key_hash))
+        .agg(F.collect_set(F.struct("kind", "norm", "new")).alias(others)), "redrawn",
     )
     rest = [c for c in docs.columns if c != "text"]
-    joined = docs.join(by_doc, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left").select(*rest, "text", "_redrawn")
+    same = own_id.eqNullSafe(F.col(key_id)) & (own_hash == F.col(key_hash))
+    joined = docs.join(by_doc, same, "left").select(*rest, "text", others)
     schema = docs.select(*rest, F.col("text").cast("string").alias("text"), F.lit(0).alias("n_entities")).schema
     out = joined.mapInArrow(_replace(key, len(rest), len(rest) + 1), schema)
     return out.select(*docs.columns, "n_entities")

@@ -231,6 +231,41 @@ def test_surrogates_stay_distinct(spark):
     assert len(got) == len(rows) and len(set(new)) == len(new) and not set(new) & real
 
 
+def test_full_shapes_widen(spark):
+    """More entities than a shape has free values: octets of one digit, secrets, cards and phones that differ in few digits."""
+    rows = [("address", ".".join(f"{i:04d}")) for i in range(6000)] + [("phone", f"+4912{i:03d}") for i in range(900)]
+    got = pii.assign(spark.createDataFrame(rows, "kind string, norm string"), b"k").collect()
+    new = [(r.kind, r.new) for r in got]
+    assert len(set(new)) == len(new) == len(rows) and not set(new) & set(rows)
+    assert all(r.new.startswith("+49") for r in got if r.kind == "phone")
+    for kind, norm, mention in (("email", "ab@x.org", "Ab@X.org"), ("card", "4111111111111111", "4111 1111 1111 1111"), ("secret", "0a1b2c3d4e5f60718293", "0a1b2c3d4e5f60718293")):
+        long = pii.surrogate(b"k", kind, norm, 3 * pii.WIDEN)
+        assert len(long) == len(norm) + 3
+        written = pii.write_like(mention, kind, norm, long)
+        assert len(written) == len(mention) + 3 and "".join(c for c in written.lower() if c != " ") == long
+    assert pii.luhn(pii.surrogate(b"k", "card", "4111111111111111", 3 * pii.WIDEN))
+
+
+def test_phones_keep_their_country_code():
+    for number, code in (("+33123456789", "+33"), ("+49301234567", "+49"), ("+15551234567", "+1"), ("+351912345678", "+351"), ("+79161234567", "+7"), ("+4930123456", "+49")):
+        [(_, _, kind, norm)] = pii.detect(f"call {number[:len(code)]} {number[len(code):]} now")
+        new = pii.surrogate(b"k", kind, norm)
+        assert (kind, norm) == ("phone", number) and new.startswith(code) and len(new) == len(number) and new != number
+
+
+def test_rows_without_id_are_told_apart_by_text(spark):
+    """Their redrawn entities are joined by text, not kept in one list of all rows without id."""
+    texts = [f"from {'.'.join(f'{i:04d}')} and {'.'.join(f'{i + 1:04d}')}" for i in range(0, 4000, 2)]
+    docs = spark.createDataFrame([(None, t, 1, 2) for t in texts] + [(None, texts[0], 1, 2), (7, texts[0], 1, 2)], "doc_id long, text string, _id int, _0 int")
+    got = pii.pseudonymise(docs, b"k")
+    assert got.columns == [*docs.columns, "n_entities"]
+    rows = got.collect()
+    assert len(rows) == 2002 and {r.n_entities for r in rows} == {2}
+    new = {a for r in rows for a in r.text.removeprefix("from ").split(" and ")}
+    assert len(new) == 4000 and not new & {".".join(f"{i:04d}") for i in range(4000)}
+    assert len({r.text for r in rows}) == 2000
+
+
 def test_training_reads_all_passages_within_the_bound(spark):
     rows = [(i, " ".join(f"word{j}" for j in range(128 * n)), "L", 1.0) for i, n in enumerate([1, 70, 200, 3] * 5)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, label string, n double")
