@@ -17,6 +17,7 @@ from clickloom.sources import feeds
 from clickloom.sources import tables as T
 from clickloom.streaming import live as L
 from clickloom.streaming import requests as LR
+from clickloom.streaming import snapshots as SN
 
 Q = {}
 
@@ -152,6 +153,18 @@ def stream_session_state(spark, d):
     return out.withColumn("recent_views", F.array_join("recent_views", ","))
 
 
+@query
+def stream_state_snapshot(spark, d):
+    """Session state out of the newest snapshot and the batches after it; every second batch is followed by a compaction."""
+    path = landed(spark, T.events(spark, d), "landing-snapshot", one_file=True)
+    table, checkpoint = L.scratch(spark, "stream-snapshot")
+    state = L.session_state(event_stream(spark, path), DAY, cart_event=T.CART_EVENT)
+    fold = lambda session, at, batch: SN.compact_state(session, at) if batch % 2 else None
+    L.to_batches(state, table, checkpoint, drain=True, after=fold)
+    out = SN.current_state(spark, table)
+    return out.withColumn("recent_views", F.array_join("recent_views", ","))
+
+
 @query
 def stream_session_window(spark, d):
     path = landed(spark, T.events(spark, d), "landing-window")

@@ -94,6 +94,8 @@ vw AS (SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id ORDER BY
 vl AS (SELECT user_id, string_agg(item_id, ',' ORDER BY k) AS recent_views FROM vw GROUP BY 1)
 SELECT s.*, coalesce(recent_views, '') AS recent_views FROM last_s s LEFT JOIN vl ON vl.user_id = s.user_id"""
 
+SQL["stream_state_snapshot"] = SQL["stream_session_state"]
+
 SQL["stream_session_window"] = f"""WITH {EV}, {runs(DAY)}
 SELECT user_id, min("timestamp") AS session_start, max("timestamp") AS last_seen, count(*) AS session_length, bool_or(event_type = 'click') AS has_cart_item
 FROM run GROUP BY user_id, session_no HAVING max("timestamp") + {DAY} <= (SELECT max("timestamp") FROM ev) - 1800"""

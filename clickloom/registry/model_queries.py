@@ -504,14 +504,45 @@ def ranker_importance(spark, d):
     return R.importance(model, spark)
 
 
+def _trained(spark, d) -> str:
+    """Where the training job has written its models and log; one application trains once for all queries."""
+    from clickloom.plans import training as TR
+
+    done = f"{shared_dir(spark).rstrip('/')}/trained/{spark.sparkContext.applicationId}/{hashlib.md5(d.encode()).hexdigest()}"
+    if not D.exists(spark, done):
+        path = new_path(spark, "trained")
+        TR.train_all(spark, T.interactions(spark, d), T.items(spark, d), path, f"{path}/log", "run-1", als=ALS_SETTINGS, trees=TREE_SETTINGS)
+        spark.createDataFrame([(path,)], "path string").coalesce(1).write.mode("overwrite").parquet(done)
+    return spark.read.parquet(done).first().path
+
+
 @query
 def run_metrics(spark, d):
-    """The whole training job, and its log."""
+    """The log of the whole training job: metrics and parameters."""
+    return spark.read.parquet(f"{_trained(spark, d)}/log").select("run_id", "stage", "kind", "name", "value", "text")
+
+
+@query
+def recommend_trained(spark, d):
+    """Requests answered with what the training job has written: factors, embeddings, stored index and trees.
+
+    Per source the requests, the full lists, and the faults: items of the user's own history, scores that are no
+    probability or rise along a list, ranks with gaps.
+    """
     from clickloom.plans import training as TR
 
-    path = new_path(spark, "run-metrics")
-    TR.train_all(
-        spark, T.interactions(spark, d), T.items(spark, d), new_path(spark, "models"), path, "run-1",
-        als=ALS_SETTINGS, trees=TREE_SETTINGS,
+    tables, trees = TR.load_trained(spark, _trained(spark, d), T.interactions(spark, d), T.items(spark, d))
+    requests = session_requests(spark, d)
+    top = cut(REC.recommend(requests, tables, trees))
+    answers = REC.respond(requests, top).join(requests.select("request_id", "n_recommendations"), "request_id")
+    scores = F.col("recommendations.score")
+    odd = F.exists(scores, lambda x: ~x.between(0.0, 1.0)) | (scores != F.reverse(F.array_sort(scores)))
+    gaps = F.col("recommendations.rank") != F.transform(F.sequence(F.lit(1), F.greatest(F.size(scores), F.lit(1))), lambda x: x.cast("int"))
+    seen = top.join(tables.history, ["user_id", "item_id"], "left_semi").groupBy("request_id").agg(F.count(F.lit(1)).alias("seen"))
+    return answers.join(seen, "request_id", "left").groupBy("source").agg(
+        F.count(F.lit(1)).alias("requests"),
+        F.count_if(F.size(scores) == F.col("n_recommendations")).alias("full_lists"),
+        F.coalesce(F.sum("seen"), F.lit(0)).alias("seen_items"),
+        F.count_if(odd).alias("odd_scores"),
+        F.count_if(gaps).alias("odd_ranks"),
     )
-    return spark.read.parquet(path).select("run_id", "stage", "name", "value")

@@ -116,6 +116,12 @@ NINE = ["session_length", "session_age_seconds", "n_recent_views", "candidate_in
 SQL["recommend_stored"] = f"""WITH {CASCADE}
 SELECT source, count(*) AS requests, count(*) AS full_lists FROM way GROUP BY source"""
 
+SQL["recommend_trained"] = f"""WITH {EV}, {REQ}, {asof("req")}, {ITEMS},
+way AS (SELECT st.request_id, CASE WHEN st.user_id IN (SELECT user_id FROM inter) THEN 'cf' WHEN len(st.views) > 0 THEN 'session'
+  ELSE 'popular' END AS source FROM st)
+SELECT source, count(*) AS requests, count(*) AS full_lists, CAST(0 AS BIGINT) AS seen_items, CAST(0 AS BIGINT) AS odd_scores,
+ CAST(0 AS BIGINT) AS odd_ranks FROM way GROUP BY source"""
+
 SQL["ranker_features"] = f"WITH {FEAT} SELECT request_id, item_id, " + ", ".join(f"round({c}, 6) AS {c}" for c in NINE) + " FROM feat"
 
 LINEAR = """0.01::DOUBLE * session_length + 0.00001::DOUBLE * session_age_seconds + 0.02::DOUBLE * n_recent_views

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clickloom.operators import catalogue as C
@@ -67,8 +67,10 @@ def write_index(spark: SparkSession, rows: DataFrame, path: str, recreate: bool
     return True
 
 
-def log_run(spark: SparkSession, path: str, run_id: str, stage: str, values: dict[str, float | int | Column]) -> None:
-    """Append named numbers of one stage to the run log."""
-    rows = [(run_id, stage, k, float(v)) for k, v in values.items()]
-    log = spark.createDataFrame(rows, "run_id string, stage string, name string, value double")
+def log_run(spark: SparkSession, path: str, run_id: str, stage: str, values: dict[str, float | int], params: dict | None = None) -> None:
+    """Append named numbers of one stage, and the parameters it ran with, to the run log."""
+    number = lambda v: float(v) if isinstance(v, (int, float)) else None
+    rows = [(run_id, stage, "metric", k, float(v), None) for k, v in values.items()]
+    rows += [(run_id, stage, "param", k, number(v), str(v)) for k, v in (params or {}).items()]
+    log = spark.createDataFrame(rows, "run_id string, stage string, kind string, name string, value double, text string")
     log.withColumn("logged_at", F.current_timestamp()).coalesce(1).write.mode("append").parquet(path)

@@ -36,12 +36,18 @@ def to_table(df: DataFrame, path: str, checkpoint: str, drain: bool = False) ->
 
 
 def to_batches(df: DataFrame, path: str, checkpoint: str, drain: bool = False, mode: str = "update",
-               shape: Callable[[DataFrame, int], DataFrame] | None = None, every: str = TRIGGER) -> StreamingQuery:
-    """Each micro-batch overwrites its own folder, so a replayed batch does not count twice."""
+               shape: Callable[[DataFrame, int], DataFrame] | None = None, every: str = TRIGGER,
+               after: Callable[[SparkSession, str, int], None] | None = None) -> StreamingQuery:
+    """Each micro-batch overwrites its own folder, so a replayed batch does not count twice.
+
+    `after` (session, path, batch id) runs when the folder is complete.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         out = shape(batch, batch_id) if shape else batch
         out.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        if after:
+            after(batch.sparkSession, path, batch_id)
 
     return start(df.writeStream.outputMode(mode).foreachBatch(write), checkpoint, drain, every)
 
