@@ -41,6 +41,25 @@ def scan_interactions(spark: SparkSession, d: str) -> DataFrame:
     return C.clean_reviews(T.raw_reviews(spark, d))
 
 
+@query
+def scan_reviews_json(spark, d):
+    """Reviews written as JSON lines and read back with the declared schema, which drops the field that it does not name."""
+    path = new_path(spark, "reviews-json")
+    T.raw_reviews(spark, d).withColumn("helpful_vote", F.lit(1)).write.json(path)
+    return C.clean_reviews(D.scan_reviews(spark, path, "json"))
+
+
+@query
+def scan_item_meta_json(spark, d):
+    """Catalogue rows written as JSON lines and read back with the declared schema."""
+    path = new_path(spark, "meta-json")
+    T.raw_item_meta(spark, d).write.json(path)
+    return D.scan_item_meta(spark, path, "json").select(
+        "parent_asin", "title", F.array_join("categories", "|").alias("categories"), "price", "average_rating", "rating_number",
+        F.array_join("description", "|", "-").alias("description"),
+    )
+
+
 @query
 def scan_items(spark, d):
     meta = T.raw_item_meta(spark, d)

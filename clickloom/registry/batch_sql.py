@@ -113,6 +113,13 @@ SQL["scan_interactions"] = f"""WITH {RAW_REVIEWS}
 SELECT user_id, asin AS item_id, rating, TRY_CAST(ts AS DOUBLE) AS "timestamp", verified_purchase
 FROM raw_reviews WHERE TRY_CAST(ts AS DOUBLE) IS NOT NULL"""
 
+SQL["scan_reviews_json"] = SQL["scan_interactions"]
+
+SQL["scan_item_meta_json"] = f"""WITH {META_BASE}
+SELECT parent_asin, title, array_to_string(categories, '|') AS categories, price,
+       CAST(average_rating AS DOUBLE) AS average_rating, CAST(rating_number AS BIGINT) AS rating_number,
+       array_to_string(list_transform(description, lambda x: coalesce(x, '-')), '|') AS description FROM meta"""
+
 SQL["scan_items"] = f"""WITH {META_BASE}
 SELECT asin, parent_asin, title, array_to_string(categories, '|') AS categories, price,
        CAST(average_rating AS DOUBLE) AS average_rating, CAST(rating_number AS BIGINT) AS rating_number,

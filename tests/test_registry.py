@@ -8,7 +8,7 @@ NAMES = [
     "kcore_two_pass", "items_build", "session_asof", "recent_views", "session_flow", "retrieve_knn", "recommend_batch",
     "training_features", "tfidf", "search_fuzzy", "auc", "latency_quantiles", "metrics_snapshot", "stream_session_state",
     "stream_latency_quantiles", "stream_error_rate", "stream_observed_stats", "als_unseen_check", "als_recommend_recall",
-    "stream_state_snapshot", "recommend_trained",
+    "stream_state_snapshot", "recommend_trained", "scan_reviews_json", "scan_item_meta_json",
 ]
 
 
