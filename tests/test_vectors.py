@@ -44,6 +44,31 @@ def test_exact_search_equals_brute_force(spark, clustered, probes):
     assert found(got) == brute(q, x, 15)
 
 
+def test_a_query_meets_a_bin_once_and_brings_k_hits(spark, clustered):
+    x, q = clustered
+    index, asked = K.kmeans_index(table(spark, x), clusters=12), table(spark, q, "query_id", "vec")
+    probes = K.probe(asked, index, 5)
+    assert probes.count() == len(q) and {len(r.cells) for r in probes.collect()} == {5}
+    packed = K.score_bins(probes, index, 15).collect()
+    assert len(packed) == len(q) and all(len(r.best) <= 15 for r in packed)
+
+
+def test_running_best_equals_sorting():
+    rng = np.random.default_rng(1)
+    x = rng.standard_normal((300, 6)).round(1)
+    x, q = x / np.linalg.norm(x, axis=1, keepdims=True), x[:20] / np.linalg.norm(x[:20], axis=1, keepdims=True)
+    x[100:200] = x[50]  # ties are cut by place
+    x[7] = np.nan
+    best, place = np.full((20, 9), -1, dtype=np.int64), rng.permutation(300)
+    for at in range(0, 300, 64):
+        K.merge_best(best, np.arange(20), q @ x[at : at + 64].T, place[at : at + 64])
+    row, found, score = K.hits_of(best)
+    s = np.round((1 + q @ x.T) / 2, 9)
+    for i in range(20):
+        want = sorted((j for j in range(300) if j != 7), key=lambda j: (-s[i, j], place[j]))[:9]
+        assert found[row == i].tolist() == place[want].tolist() and np.array_equal(score[row == i], s[i, want])
+
+
 def test_exact_search_with_fewer_items_than_wanted(spark):
     x = np.eye(3)
     index = K.pivot_index(table(spark, x), clusters=3)
