@@ -38,6 +38,24 @@ def test_session_state_with_late_files_equals_batch(spark, tmp_path):
         assert g.recent_views == views.get(u, [])
 
 
+def test_summaries_of_all_users_of_a_batch_at_once(spark):
+    """One pass over a batch of 5,000 users: spans, views chains and newest views of each, and no work per user."""
+    import pyarrow as pa
+
+    rows = [(f"u{u:04d}", f"{i:02d}", "a" if i % 2 else ("" if i % 4 else None), "cart" if i == 5 else None, float(i * 100 + (i > 3) * 1000))
+            for u in range(5000) for i in range(u % 7 + 1)]
+    batch = pa.RecordBatch.from_pydict(dict(zip(("user_id", "event_id", "item_id", "event_type", "timestamp"), zip(*rows))))
+    before = time.process_time()
+    out = L._summaries(batch, 1000.0, 2, "cart").to_pylist()
+    assert time.process_time() - before < 1.0  # a data frame per user took more
+    assert [r["user_id"] for r in out] == [f"u{u:04d}" for u in range(5000)]
+    one = out[6]
+    assert one["pieces"] == [{"a": 0.0, "b": 300.0, "n": 4, "cart": False}, {"a": 1400.0, "b": 1600.0, "n": 3, "cart": True}]
+    assert one["chains"] == [{"a": 100.0, "b": 300.0}, {"a": 1500.0, "b": 1500.0}]
+    assert one["views"] == [{"t": 300.0, "id": "03", "item": "a"}, {"t": 1500.0, "id": "05", "item": "a"}]
+    assert out[0]["chains"] == [] and out[0]["views"] == [] and out[7]["event_time"].timestamp() == 0.0
+
+
 def test_arrival_state_expires_as_a_whole(spark, tmp_path):
     path, out = str(tmp_path / "in"), str(tmp_path / "out")
     stream = land(spark, path, [[("1", "u", "a", "view", 1.0), ("2", "u", "b", "add_to_cart", 2.0)]])
