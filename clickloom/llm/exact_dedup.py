@@ -13,7 +13,7 @@ import string
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from clickloom.llm import golomb
@@ -106,13 +106,14 @@ def classes(docs: DataFrame) -> DataFrame:
 
 
 def dedup(docs: DataFrame) -> DataFrame:
-    """Rows of `docs` that stay, with all their columns."""
-    found = stage(classes(docs).select("doc_id", "kept", "text_sha256"), "classes")
-    per_key = found.groupBy("doc_id", "text_sha256").agg(F.max("kept").alias("stays"), F.count("*").alias("n"))
-    gone = per_key.where("not stays or n > 1").select(F.col("doc_id").alias("__own_id"), F.col("text_sha256").alias("__own_sha"), "stays")
-    sha = F.sha2(normalised(F.col("text")), 256)
-    same = F.col("doc_id").eqNullSafe(F.col("__own_id")) & (sha == F.col("__own_sha"))
-    rest = docs.join(gone.drop("stays"), same, "left_anti")
-    again = docs.join(gone.where("stays").drop("stays"), same, "left_semi")
-    again = again.withColumn("__own_sha", sha).dropDuplicates(["doc_id", "__own_sha"]).drop("__own_sha")
-    return rest.unionByName(again)
+    """Rows of `docs` that stay, with all their columns.
+
+    The texts are shuffled once, whatever the size: by the key of id and text, of which one row is left before the
+    shuffle, and by which the rows then meet the keys that go.
+    """
+    key = lambda sha: F.concat(sha, F.lit(":"), F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("")))
+    found = stage(classes(docs).select(key(F.col("text_sha256")).alias("__own"), "kept"), "classes")
+    gone = found.groupBy("__own").agg(F.max("kept").alias("stays")).where("not stays").select("__own")
+    keyed = docs.withColumn("__own", key(F.sha2(normalised(F.col("text")), 256)))
+    one = keyed.withColumn("__n", F.row_number().over(Window.partitionBy("__own").orderBy("__own"))).where("__n = 1")
+    return one.join(gone, "__own", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -44,6 +44,20 @@ def test_exact_dedup_keeps_columns_and_one_row_each(odd, none):
     assert exact_dedup.dedup(none).count() == 0
 
 
+def test_exact_dedup_shuffles_texts_once(spark, odd):
+    """Also where no side of a join is small: the rest and the repeated rows came from two joins with all texts."""
+    small = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        for size in (small, "-1"):
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", size)
+            plan = exact_dedup.dedup(odd)._jdf.queryExecution().executedPlan().toString()
+            assert plan.count("Scan ExistingRDD") == 1
+            above = [line for line in plan[: plan.index("Scan ExistingRDD")].splitlines() if "Exchange hashpartitioning" in line]
+            assert len(above) == 1
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", small)
+
+
 def brute_print(text):
     w = (text or "").encode().translate(LOW).split()
     s = [b" ".join(w[i : i + 3]) for i in range(len(w) - 2)] or ([b" ".join(w)] if w else [])
