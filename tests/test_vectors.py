@@ -177,3 +177,15 @@ def test_diversity(spark, cats, want):
         "request_id string, rank int, item_id string, title string, category string, price double, avg_rating double, score double, source string",
     )
     assert REC.respond(req, top).first().diversity == pytest.approx(want)
+
+
+def test_a_norm_is_computed_once_per_vector(spark):
+    rows = spark.createDataFrame(
+        [("a", [3.0, 4.0]), ("b", [0.0, 0.0]), ("c", None), ("d", [1.0, None]), ("e", [])], "id string, v array<double>"
+    )
+    out = rows.select("id", V.project_user("v", 3).alias("v")).select("id", V.unit("v").alias("v"))
+    # a norm inside a lambda would be computed for every element, and one vector of another for every element of that
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("aggregate(") == 2
+    got = {r.id: r.v for r in out.collect()}
+    assert np.allclose(got["a"], [0.6, 0.8, 0.0])
+    assert got["b"] == [0.0] * 3 and got["c"] is None and got["d"] == [1.0, None, 0.0] and got["e"] == [0.0] * 3
