@@ -28,6 +28,7 @@ SENT_DDL = "part long, owner int, blob binary, rid long, doc_id long, sha binary
 
 
 SALTS = 32
+MARK_BITS = 1 << 26  # of the bitmap that marks the ids of suspects: 8 MB
 
 
 def normalised(text):
@@ -65,6 +66,23 @@ def _send(owners: int):
     return run
 
 
+def _marked(source: DataFrame, suspects: DataFrame) -> DataFrame:
+    """Rows of `source` that may have a suspect's doc_id: all that have, and a few others.
+
+    The ids of the suspects set bits of one bitmap, which is sent to the texts. So a text is filtered where it is read,
+    however many suspects there are, and the texts of other rows are not shuffled.
+    """
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(MARK_BITS))
+    bitmap = (
+        suspects.select(place.alias("place")).distinct().groupBy(F.bitmap_bucket_number("place").alias("bucket"))
+        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits"))
+    )
+    asked = source.withColumn("at", F.bitmap_bit_position(place)).withColumn("of", F.bitmap_bucket_number(place))
+    byte = F.conv(F.hex(F.expr("substring(bits, int(at div 8) + 1, 1)")), 16, 10).cast("int")
+    bit = F.expr("1 << int(at % 8)").bitwiseAND(byte) > 0
+    return asked.join(F.broadcast(bitmap), (F.col("of") == F.col("bucket")) & bit, "left_semi").drop("at", "of")
+
+
 def classes(docs: DataFrame) -> DataFrame:
     """One row per row of `docs`: doc_id, keep_id, group_size, kept, text_sha256."""
     spark = docs.sparkSession
@@ -80,8 +98,7 @@ def classes(docs: DataFrame) -> DataFrame:
         "suspects",
     )
     suspects = flagged.where("suspect")
-    wanted = suspects.select(F.col("doc_id").alias("want")).distinct()
-    texts = source.join(wanted, F.col("doc_id").eqNullSafe(F.col("want")), "left_semi").select(normalised(F.col("text")).alias("norm"))
+    texts = _marked(source, suspects).select(normalised(F.col("text")).alias("norm"))
     checked = (
         texts.groupBy("norm").count().select(F.unhex(F.sha2("norm", 256)).alias("sha"))
         .groupBy("sha").agg(F.count("*").alias("texts"))

@@ -58,6 +58,28 @@ def test_exact_dedup_shuffles_texts_once(spark, odd):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", small)
 
 
+def test_suspects_are_found_without_a_shuffle_of_texts(spark, odd):
+    """Where no side of a join is small, all texts were shuffled to meet the suspects' ids."""
+    small = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        plan = exact_dedup.classes(odd)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", small)
+    assert plan.count("Scan ExistingRDD") == 1
+    lines = plan[: plan.index("Scan ExistingRDD")].splitlines()
+    first = max(i for i, line in enumerate(lines) if "Exchange hash" in line)
+    assert "hashpartitioning(norm" in lines[first] and any("HashAggregate(keys=[norm" in line for line in lines[first:])
+
+
+def test_marked_rows_hold_all_suspects_and_few_others(spark):
+    source = spark.range(4000).selectExpr("id - 2000 AS doc_id", "'t' AS text").unionByName(spark.sql("SELECT CAST(NULL AS bigint) AS doc_id, 't' AS text"))
+    suspects = source.where("doc_id % 7 = 0 OR doc_id IS NULL")
+    got = {r.doc_id for r in exact_dedup._marked(source, suspects).collect()}
+    want = {r.doc_id for r in suspects.collect()}
+    assert None in want and want <= got and len(got) <= len(want) + 10
+
+
 def brute_print(text):
     w = (text or "").encode().translate(LOW).split()
     s = [b" ".join(w[i : i + 3]) for i in range(len(w) - 2)] or ([b" ".join(w)] if w else [])
