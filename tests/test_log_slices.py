@@ -42,6 +42,24 @@ def test_no_row_is_late_for_its_own_slice(spark, tmp_path):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
 
+def test_event_batches_do_not_grow_with_the_files(spark, tmp_path):
+    """A file was a batch of its own, and with a delay of 30 minutes the rows of a slice's second file were lost."""
+    n = F.col("id")
+    none = F.lit(None).cast("map<string,string>")
+    events = spark.range(720).repartition(4, n).select(
+        n.cast("string").alias("event_id"), F.concat(F.lit("u"), n % 7).alias("user_id"), F.lit("a").alias("item_id"), F.lit("view").alias("event_type"),
+        F.lit("s").alias("session_id"), (1704067200.0 + n * 3600).alias("timestamp"), none.alias("metadata"),
+    )
+    events = spark.read.parquet(_stored(events, tmp_path / "events"))
+    run = L.to_batches(L.session_state(LQ.event_stream(spark, *LQ.landed(spark, events, "slices")), 86400.0), str(tmp_path / "out"), str(tmp_path / "cp"), drain=True)
+    assert len(with_rows(run)) == 3
+    got = {r.user_id: r.session_length for r in L.latest_state(spark.read.parquet(str(tmp_path / "out"))).collect()}
+    assert got == {r.user_id: r["count"] for r in events.groupBy("user_id").count().collect()}
+    path, files = LQ.slices(spark, events, "timestamp", "live", {"event_id": "~"})
+    run = L.to_table(LQ.event_stream(spark, path, files).select("event_id"), str(tmp_path / "live"), str(tmp_path / "live-cp"), drain=True)
+    assert len(with_rows(run)) == 4 and spark.read.parquet(str(tmp_path / "live")).count() == 721
+
+
 def _stored(df, path):
     df.write.parquet(str(path))
     return str(path)

@@ -38,6 +38,26 @@ def test_session_state_with_late_files_equals_batch(spark, tmp_path):
         assert g.recent_views == views.get(u, [])
 
 
+def test_users_of_a_bucket_have_states_of_their_own(spark, tmp_path, monkeypatch):
+    """Every user was an entry of the store. Users who rest keep their state, and an expired one begins anew."""
+    monkeypatch.setattr(L, "BUCKETS", 1)
+    t0 = 1.7e9
+    files = [
+        [(f"a{i}", f"u{i}", "x", "view", t0 + i) for i in range(40)],
+        [("b", "u1", "y", "view", t0 + 100)],
+        [("c", "u2", "z", "add_to_cart", t0 + 200), ("d", "u3", "z", "view", t0 + 50_000)],
+        [("e", "u1", "q", "view", t0 + 50_100), ("f", "u3", "q", "view", t0 + 50_200)],
+    ]
+    state = L.session_state(land(spark, str(tmp_path / "in"), files), 1800, delay="60 seconds")
+    run = L.to_batches(state, str(tmp_path / "out"), str(tmp_path / "cp"), drain=True)
+    assert 0 < run.recentProgress[0].stateOperators[0].numRowsTotal < 10
+    got = {(r.batch_id, r.user_id): (r.session_start, r.session_length, r.has_cart_item, r.recent_views) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert len(got) == 45
+    assert got[0, "u7"] == (t0 + 7, 1, False, ["x"]) and got[1, "u1"] == (t0 + 1, 2, False, ["y", "x"])
+    assert got[2, "u2"] == (t0 + 2, 2, True, ["z", "x"]) and got[2, "u3"] == (t0 + 50_000, 1, False, ["z"])
+    assert got[3, "u1"] == (t0 + 50_100, 1, False, ["q"]) and got[3, "u3"] == (t0 + 50_000, 2, False, ["q", "z"])
+
+
 def test_summaries_of_all_users_of_a_batch_at_once(spark):
     """One pass over a batch of 5,000 users: spans, views chains and newest views of each, and no work per user."""
     import pyarrow as pa
