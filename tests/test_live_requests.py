@@ -2,6 +2,7 @@
 
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 from test_sessions import EVENT, Store
@@ -59,6 +60,59 @@ def test_answers_equal_the_batch(spark, tmp_path):
         assert (g.n_recommendations, g.context) == (known[g.request_id][2], known[g.request_id][4])
 
 
+def test_users_of_a_bucket_share_the_calls():
+    """Every user had calls, a timer and a data frame of its own."""
+    calls = []
+
+    class Store:
+        held, timers = None, []
+
+        def get(self):
+            calls.append("get")
+            return self.held
+
+        def update(self, value):
+            calls.append("update")
+            self.held = value
+
+        def clear(self):
+            calls.append("clear")
+            self.held = None
+
+        def listTimers(self):
+            return iter(self.timers)
+
+        def registerTimer(self, at):
+            self.timers = [*self.timers, at]
+
+        def deleteTimer(self, at):
+            self.timers = [t for t in self.timers if t != at]
+
+    class At:
+        def __init__(self, seconds):
+            self.getCurrentWatermarkInMs = lambda: int(seconds * 1000)
+
+    store = Store()
+    live = LR.LiveRequests(50.0, 20)
+    live._state = live._handle = store
+    rows = [(f"u{u:02d}", 100.0 + u + k, k % 2, f"{k}", "a" if k % 2 == 0 else None, False, 5 if k % 2 else None, None) for u in range(30) for k in range(4)]
+    frame = pd.DataFrame(rows, columns=["user_id", *LR.FIELDS])
+    assert list(live.handleInputRows((1,), iter([frame]), At(0))) == [] and store.timers == [100_001]
+    (out,) = live.handleExpiredTimer((1,), At(110.0), None)
+    want = {}
+    for user, ts, kind, *rest in rows:
+        session = want.setdefault(user, LR.Session(50.0, 20))
+        if kind and ts <= 110.0:
+            assert tuple(out[(out.user_id == user) & (out.request_ts == ts)].iloc[0][["session_length", "session_age_seconds"]]) == session.at(ts)[:2]
+        elif not kind:
+            session.apply(ts, rest[1], False)
+    assert len(out) == sum(r[2] == 1 and r[1] <= 110.0 for r in rows) and store.timers == [111_001]
+    (out,) = live.handleExpiredTimer((1,), At(150.0), None)
+    assert len(out) == sum(r[2] == 1 and r[1] > 110.0 for r in rows) and not store.held[0] and len(store.held[1]) == 30
+    assert list(live.handleExpiredTimer((1,), At(500.0), None)) == [] and store.held is None and store.timers == []
+    assert calls == ["get", "update"] * 3 + ["get", "clear"]
+
+
 def test_messages_that_are_no_requests_are_left_out(spark):
     rows = [('{"request_id":"a","user_id":"u","request_ts":5.0}',), ('{"request_id":"b","request_ts":5.0}',), ("{broken",), (None,)]
     messages = spark.createDataFrame(rows, "value string")
